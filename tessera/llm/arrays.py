@@ -66,9 +66,9 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = stop
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends (exclusive) and the row of every word."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = solid.copy()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import arrays as A
-from .shared import connected_components, remove, ship, written
+from .shared import connected_components, hash_filter, may_hold, ship, written
 
 SKETCH_BITS = 20
 FILTER_BITS = 24
@@ -111,10 +111,8 @@ def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray)
     for batch in batches:
         sets = [s for _, s in _shingled(batch, k) if len(s)]
         ids = set_ids(sets)
-        slot = ids.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
         out = []
-        for j in np.flatnonzero(hit).tolist():
+        for j in np.flatnonzero(may_hold(bits, ids)).tolist():
             i = int(ids[j])
             if i not in seen:
                 if len(seen) < 1_000_000:
@@ -325,11 +323,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
     rank = F.row_number().over(Window.partitionBy("label").orderBy("n", "sid")) - 1
     leaves = written(groups.withColumnRenamed("node", "sid").join(sizes, "sid").select(F.col("label").alias("grp"), F.floor(rank / leaf).cast("int").alias("leaf"), "sid", "n"), "groups")
 
-    slots = leaves.select((F.shiftrightunsigned("sid", 64 - FILTER_BITS) + 1).alias("slot")).distinct()
-    chunks = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in chunks.toLocalIterator():  # at most 2 ** FILTER_BITS bits at any size; bucket numbers count from 1
-        bits[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)
+    bits = hash_filter(leaves, "sid", FILTER_BITS)
     filter_ = spark.sparkContext.broadcast(bits)
     sets = text.mapInArrow(lambda b: _candidate_sets(b, k, filter_.value), "sid long, tokens binary")
     sets = written(sets.join(leaves.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("tokens").alias("tokens")), "tokens")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     _shipped.add(app)
+    # rows of text and of shingle sets can be long: small batches bound the memory of a task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = tempfile.mkdtemp(prefix="tessera-ship-")
     archive = os.path.join(folder, "tessera_code.zip")
@@ -67,6 +69,22 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def hash_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of the top ``bits`` bits of the long ``column``: a filter of 2 ** (bits - 3) bytes at any size."""
+    slots = hashes.select((F.shiftrightunsigned(F.col(column), 64 - bits) + 1).alias("slot")).distinct()
+    chunks = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in chunks.toLocalIterator():  # bucket numbers count from 1
+        out[(r.at - 1) * 4096 : r.at * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """True where ``hash_filter`` has the bit of the 64-bit hash."""
+    slot = (hashes.view(np.uint64) >> np.uint64(64 - 3 - (len(filter_) - 1).bit_length())).astype(np.int64)
+    return ((filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of the edges.
 
@@ -91,6 +109,3 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 64) ->
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
-
-def drop_local(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
