@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are lower-cased runs of letters and their first 4, 5 and 6 bytes.  The
+Terms are lower-cased runs of letters and their first 4 to 8 bytes.  The
 vocabulary are the terms that a sample of labelled documents associates with the
 label (chi-square), at most ``vocabulary`` of them.  Document frequencies are counted
 over all documents.  The examples are the sample's documents.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .shared import ship, written
 
-SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 1_024, 24, 64, (4, 5, 6)
+SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 256, 8, 64, (4, 5, 6, 7, 8)
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         seen = examples.mapInArrow(_term_labels, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("m"))
         a, m = F.col("a"), F.col("m")
         chi = n * F.pow(a * n - m * p, 2) / (m * F.greatest(n - m, F.lit(0.5)) * max(p, 0.5) * max(n - p, 0.5))
-        best = seen.where((a >= 4) & (a * n > 2 * m * p)).withColumn("chi", chi).where("chi > 15")
+        best = seen.where((a >= 3) & (a * n > 3 * m * p)).withColumn("chi", chi).where("chi > 15")
         terms = np.sort(np.array([r.term for r in best.orderBy(F.desc("chi"), "term").limit(vocabulary).collect()], np.int64).view(np.uint64))
     counts = written(docs.mapInArrow(lambda b: _vectors(b, terms), "doc_id long, terms array<int>, counts array<int>"), "terms")
     own = examples.mapInArrow(lambda b: _vectors(b, terms), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms", "counts").collect()
