@@ -158,6 +158,14 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     return best.select("doc_id", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_matched").cast("long").alias("n_matched"), "b.exact", "b.consistent", "b.contaminated")
 
 
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item contaminates."""
+    bad = written(leaks(docs, items).where("contaminated").select("doc_id").distinct(), "leaks")
+    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
 def op4_query(spark, sf_dir: str) -> DataFrame:
     """The contaminated pairs of all documents and benchmark items."""
     found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -348,6 +348,15 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component; of repeated rows one."""
+    found = ngram_components(docs, k, num, den)
+    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    # partitioned by doc_id already
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return out.withColumn("_again", F.row_number().over(again)).where("_again = 1 or doc_id is null").drop("_again").select(docs.columns)
+
+
 def op6_query(spark, sf_dir: str) -> DataFrame:
     """Components of documents at 3-word shingles and a similarity of 0.9."""
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)

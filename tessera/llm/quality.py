@@ -40,7 +40,6 @@ _CALLS = np.zeros(256, bool)
 _CALLS[ord("!")] = _CALLS[ord("?")] = True
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_digits", "n_calls", "n_lines"]
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 FEATURES = ["n_words", "mean_word", "symbols", "dup_lines", "repeats", "upper", "digits", "calls", "line_words"]
 
 
@@ -87,9 +86,10 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, rows:
 
 
 def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the counts of ``row.text`` to each ``row``."""
     for batch in batches:
         parts = [[] for _ in COUNTS]
-        for _, data, offsets in A.text_slices(batch.column("text")):
+        for _, data, offsets in A.text_slices(batch.column("row").field("text")):
             starts, ends, rows = A.word_spans(data, offsets)
             n_rows = len(offsets) - 1
             hashes = A.span_hashes(data, starts, ends)
@@ -107,13 +107,21 @@ def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, v in zip(parts, values):
                 part.append(v)
         arrays = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64()) for p in parts]
-        yield pa.record_batch([batch.column("doc_id"), *arrays], names=["doc_id", *COUNTS])
+        kept = batch.column("row")
+        if "doc_id" in batch.schema.names:  # the text itself is not wanted back
+            kept = batch.column("doc_id")
+        yield pa.record_batch([kept, *arrays], names=["doc_id" if "doc_id" in batch.schema.names else "row", *COUNTS])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every row; ``n_words`` to ``n_repeat_words`` are those of the query's contract."""
+def text_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id (whole: the whole row, as ``row``) and the counts of every row; the first five are those of the query's contract."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(text_counts, SCHEMA)
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    if whole:
+        packed = docs.select(F.struct("*").alias("row"))
+        return packed.mapInArrow(text_counts, f"row {packed.schema['row'].dataType.simpleString()}, {counts}")
+    packed = docs.select(F.struct(F.col("text").cast("string").alias("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return packed.mapInArrow(text_counts, f"doc_id long, {counts}")
 
 
 def features() -> dict[str, Column]:
@@ -229,15 +237,23 @@ def train(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, **limi
     return learn_list(rows[[f"f_{n}" for n in FEATURES]].to_numpy(float), rows["quality"].to_numpy() == 0, FEATURES, **limits)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """doc_id, the counts, base_failed, rule (number of the learned rule that rejects, 0: none) and kept."""
     statistics = written(text_statistics(docs), "statistics")
-    rules = train(statistics, labels, sample)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = statistics.withColumn("base_failed", failed).withColumn("rule", list_expression(rules))
+    out = statistics.withColumn("base_failed", base_failed()).withColumn("rule", list_expression(train(statistics, labels, sample)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, as they are, that the base rules and the learned list keep."""
+    rules = train(text_statistics(docs), labels, sample)
+    return text_statistics(docs, whole=True).where(~base_failed() & (list_expression(rules) == 0)).select("row.*")
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     """The verdict on every document."""
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
