@@ -5,10 +5,13 @@ Documents whose sets of k-word shingles have Jaccard similarity of at least
 
 1. A sketch with a fixed number of slots counts shingles over all documents.  It
    only orders shingles from rare to frequent; any order gives the same result.
-2. Two linked sets share a shingle among the ``n - ceil(t n) + 1`` rarest of each
-   (prefix filter).  Equal sets count as one.  Within each bucket of such a shingle
-   a signature tree finds the pairs that their bitmaps and sizes allow; connected
-   components of these are candidate groups.
+2. Large sets are cut by hash into R classes, R growing with the size: if two sets
+   have Jaccard similarity t, their parts in some class have it too.  A set takes
+   part with the R of its own size and of the largest partner's, so the two meet.
+   Two parts of similarity t share a shingle among the ``n - ceil(t n) + 1`` rarest
+   of each (prefix filter).  Equal sets count as one.  Within each bucket of such a
+   shingle a signature tree finds the pairs of parts that their bitmaps and sizes
+   allow; connected components of these are candidate groups.
 3. A candidate group is ordered by set size and cut into leaves of a bounded
    number of sets.  A leaf is a node of the signature tree: OR-combined token
    bitmap, size range, fewest bits of a member.  Leaf pairs whose largest
@@ -39,11 +42,12 @@ from pyspark.sql.window import Window
 from . import arrays as A
 from .shared import connected_components, hash_filter, may_hold, ship, written
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 FILTER_BITS = 24
 SIGNATURE_WORDS = 16
 LEAF = 512
 BUCKET = 4096
+PART = 768
 
 
 def _shingled(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,41 +70,67 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Slots that are frequent among the shingles of this task, with their counts."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for batch in batches:
         for row, data, offsets in A.text_slices(batch.column("text")):
             starts, ends, rows = A.word_spans(data, offsets)
             every = A.window_hashes(A.span_hashes(data, starts, ends, fold=True), k)
             every = every[rows[: len(every)] == rows[k - 1 :][: len(every)]]
-            counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            slots, times = np.unique((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            counts[slots] += times.astype(np.int32)
     slots = np.flatnonzero(counts > 3 + 3 * counts.mean())
-    yield pa.record_batch({"slot": pa.array(slots), "cnt": pa.array(counts[slots])})
+    yield pa.record_batch({"slot": pa.array(slots), "cnt": pa.array(counts[slots], pa.int64())})
+
+
+def classes_of(n: int, num: int, den: int) -> list[int]:
+    """The numbers of classes into which a set of n shingles is cut."""
+    out = []
+    for size in (n, n * den // num):
+        r = 1
+        while size > r * PART:
+            r *= 2
+        out.append(r)
+    return sorted(set(out))
+
+
+def _parts(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(class id, the part's shingles, its rarest shingles as keys) of each part of a set."""
+    for r in classes_of(len(s), num, den):
+        of = s & np.uint64(r - 1)
+        for c in range(r):
+            part = s[of == c] if r > 1 else s
+            if not len(part):
+                continue
+            weight = weights[(part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+            key = (weight << np.uint64(58)) | (part >> np.uint64(6))
+            m = len(part) - (num * len(part) + den - 1) // den + 1
+            rare = part[np.argpartition(key, m - 1)[:m]] if m < len(part) else part
+            yield r + c, part, (rare ^ A.mix(np.full(1, r + c, np.uint64))).view(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each document's set size and identity; for the first document of a set in this task also its rarest shingles."""
+    """Each document's set size and identity; for the first document of a set in this task also its parts."""
+    kind = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))]))
     seen: set[int] = set()
     for batch in batches:
         sets = [s for _, s in _shingled(batch, k)]
-        ids, keys = set_ids(sets), []
+        ids, parts = set_ids(sets), []
         for s, i in zip(sets, ids.tolist()):
             if not len(s) or i in seen:
-                keys.append(None)
+                parts.append(None)
                 continue
             if len(seen) < 1_000_000:
                 seen.add(i)
-            weight = weights[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-            key = (weight << np.uint64(58)) | (s & np.uint64((1 << 58) - 1))
-            m = len(s) - (num * len(s) + den - 1) // den + 1
-            keys.append((np.partition(key, m - 1)[:m] if m < len(key) else key).view(np.int64))
+            found = list(_parts(s, weights, num, den))
+            bits = signatures([p for _, p, _ in found])
+            parts.append([{"part": c, "n": len(p), "bits": b.tobytes(), "keys": keys} for (c, p, keys), b in zip(found, bits)])
         sizes = [len(s) for s in sets]
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": pa.array(sizes, pa.int64()),
                 "sid": pa.array([i if n else None for i, n in zip(ids.tolist(), sizes)], pa.int64()),
-                "keys": pa.array(keys, pa.list_(pa.int64())),
-                "bits": pa.array([None if key is None else b.tobytes() for key, b in zip(keys, signatures(sets))], pa.binary()),
+                "parts": pa.array(parts, kind),
             }
         )
 
@@ -125,7 +155,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Token bitmaps, one row of 64-bit words a set."""
     bits = np.zeros((len(sets), SIGNATURE_WORDS * 64), bool)
     for i, s in enumerate(sets):
-        bits[i, (s & np.uint64(SIGNATURE_WORDS * 64 - 1)).astype(np.int64)] = True
+        bits[i, ((s >> np.uint64(12)) & np.uint64(SIGNATURE_WORDS * 64 - 1)).astype(np.int64)] = True
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
@@ -304,22 +334,23 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
     for r in sketch.toLocalIterator():  # at most 2 ** SKETCH_BITS rows at any size
         weights[r.slot] = min(63, int(r.cnt).bit_length())
     shared = spark.sparkContext.broadcast(weights)
-    found = written(docs.mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, n_shingles long, sid long, keys array<long>, bits binary"), "sets")
+    found = written(docs.mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, n_shingles long, sid long, parts array<struct<part:int,n:int,bits:binary,keys:array<long>>>"), "sets")
 
-    keys = found.where("keys is not null").select("sid", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).repartition("key")
+    parts = found.where("parts is not null").select("sid", "n_shingles", F.explode("parts").alias("p")).select("sid", "n_shingles", "p.*")
+    keys = parts.select("sid", "part", F.explode("keys").alias("key")).repartition("key")
     pairs = keys.dropDuplicates(["key", "sid"])
-    mark = F.xxhash64("sid")
+    mark = F.xxhash64("sid", "part")
     buckets = pairs.groupBy("key").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"))
     buckets = buckets.where("cnt >= 2").groupBy("cnt", "h1", "h2").agg(F.min("key").alias("key"))
-    members = written(pairs.join(buckets.select("key").hint("shuffle_hash"), "key").select("key", "sid", "n"), "members")
+    members = written(pairs.join(buckets.select("key").hint("shuffle_hash"), "key").select("key", "sid", "part"), "members")
     # a bucket too large for one task is a group as it stands: its members with the least of them
     large = members.groupBy("key").agg(F.min("sid").alias("y"), F.count("*").alias("cnt")).where(F.col("cnt") > BUCKET)
     stars = members.join(large, "key").select(F.col("sid").alias("x"), "y")
-    bits = found.where("bits is not null").groupBy("sid").agg(F.max("bits").alias("bits"))
-    small = members.join(large.select("key"), "key", "left_anti").join(bits, "sid")
+    once = parts.groupBy("sid", "part").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    small = members.join(large.select("key"), "key", "left_anti").join(once, ["sid", "part"])
     small = small.repartition("key").sortWithinPartitions("key").select("key", "sid", "n", "bits")
     groups = connected_components(small.mapInArrow(lambda b: _plausible(b, num, den), "x long, y long").union(stars), "x", "y")
-    sizes = members.groupBy("sid").agg(F.min("n").alias("n"))
+    sizes = parts.groupBy("sid").agg(F.max("n_shingles").alias("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("n", "sid")) - 1
     leaves = written(groups.withColumnRenamed("node", "sid").join(sizes, "sid").select(F.col("label").alias("grp"), F.floor(rank / leaf).cast("int").alias("leaf"), "sid", "n"), "groups")
 
