@@ -62,7 +62,7 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, power: float = PO
     tokens ** power of its categories.
     """
     everything = Window.partitionBy()
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
+    out = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(everything)), F.lit(0.0)))
     for m in margins:
         if targets and m in targets:
             goal = targets[m].select(F.col(m).alias("_key"), F.col("share").cast("double").alias("_share"))
@@ -72,11 +72,11 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, power: float = PO
         # each category once, those with tokens only
         first = (F.row_number().over(Window.partitionBy(m).orderBy(F.desc("tokens"), *margins)) == 1) & (F.sum("tokens").over(Window.partitionBy(m)) > 0)
         out = out.withColumn("_once", F.when(first, F.col(f"_t_{m}")).otherwise(0.0))
-        out = out.withColumn(f"_t_{m}", F.col(f"_t_{m}") / F.sum("_once").over(everything)).drop("_once")
+        out = out.withColumn(f"_t_{m}", F.coalesce(F.try_divide(F.col(f"_t_{m}"), F.sum("_once").over(everything)), F.lit(0.0))).drop("_once")
     for i in range(rounds):
         for m in margins:
             have = F.sum("weight").over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"_t_{m}") / have).otherwise(0.0))
+            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_t_{m}"), have), F.lit(0.0)))
         if i % 5 == 4:  # a short lineage, and a plan that stays small
             out = written(out, "cells")
     return out
@@ -97,13 +97,13 @@ def probabilities(raked: DataFrame, budget: float) -> DataFrame:
     Cells in descending order of weight / tokens: the first k have p = 1 for the
     least k that leaves the next one at most 1.
     """
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    ratio = F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0))
     cells = raked.withColumn("_r", ratio)
     order = Window.orderBy(F.desc("_r"), *[F.col(c) for c in raked.columns if c in MARGINS])
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     left = F.lit(budget) * F.sum("tokens").over(Window.partitionBy()) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    cells = cells.withColumn("_c", left / F.sum("weight").over(after))
+    cells = cells.withColumn("_c", F.try_divide(left, F.sum("weight").over(after)))
     # with the cells before it at 1, does this one fit below 1?
     fits = F.col("_c") * F.col("_r") <= 1
     scale = F.max_by("_c", F.when(fits, F.col("_r"))).over(Window.partitionBy())
