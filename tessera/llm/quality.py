@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import ship, written
+from .shared import hash_sample, ship, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -231,7 +231,7 @@ def train(statistics: DataFrame, labels: DataFrame, sample: int = 20_000, **limi
     """The list learned from at most ``sample`` labelled documents, those with the smallest hash of doc_id."""
     labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
     rows = statistics.join(labels, "doc_id").select("doc_id", "quality", *[c.alias(f"f_{n}") for n, c in features().items()])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *[f"f_{n}" for n in FEATURES]).limit(sample).toPandas()
+    rows = hash_sample(rows, "doc_id", sample, "quality", *[f"f_{n}" for n in FEATURES]).toPandas()
     if not len(rows):
         return []
     return learn_list(rows[[f"f_{n}" for n in FEATURES]].to_numpy(float), rows["quality"].to_numpy() == 0, FEATURES, **limits)

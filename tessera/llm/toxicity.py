@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import ship, written
+from .shared import hash_sample, ship, written
 
 SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 256, 8, 64, (4, 5, 6, 7, 8)
 _OTHER = np.ones(256, bool)
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # so small that it may be broadcast
+    chosen = hash_sample(chosen, "doc_id", sample, "toxic")  # so small that it may be broadcast
     examples = written(docs.join(F.broadcast(chosen), "doc_id"), "examples")
     if not (size := examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()).n:
         size = None
