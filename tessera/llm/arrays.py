@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than ``\\x20 \\x09-\\x0D``.  All of these
 bytes are ASCII, so splitting UTF-8 bytes equals splitting code points.  A text
-column is walked in slices of a few MB, which bounds the memory of a task by the
+column is walked in slices of a MB, which bounds the memory of a task by the
 slice and the longest single text, whatever the batch size is.
 
 Hashes are 64-bit: a polynomial over the bytes of a word, mixed, and a
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

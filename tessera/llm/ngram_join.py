@@ -313,7 +313,7 @@ def _leaf_pairs(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     ored = [F.bit_or(F.col("bits")[w]).alias(f"w{w}") for w in range(SIGNATURE_WORDS)]
     nodes = written(nodes.groupBy("grp", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ones").alias("least"), *ored), "leaves")
     band = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(den / num)))
-    a = nodes.select("grp", *[F.col(c).alias(f"a_{c}") for c in nodes.columns[1:]], F.explode(F.sequence(band("lo") - 1, band("hi") + 1)).alias("band"))
+    a = nodes.select("grp", *[F.col(c).alias(f"a_{c}") for c in nodes.columns[1:]], F.explode(F.sequence(band("lo") - 2, band("hi") + 2)).alias("band"))
     b = nodes.select("grp", *[F.col(c).alias(f"b_{c}") for c in nodes.columns[1:]], F.explode(F.sequence(band("lo"), band("hi"))).alias("band"))
     common = sum((F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(SIGNATURE_WORDS)), F.lit(0))
     most = F.least(*[F.col(f"{s}_hi") - F.greatest(F.lit(0), F.col(f"{s}_least") - common) for s in "ab"])
@@ -348,7 +348,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
     stars = members.join(large, "key").select(F.col("sid").alias("x"), "y")
     once = parts.groupBy("sid", "part").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     small = members.join(large.select("key"), "key", "left_anti").join(once, ["sid", "part"])
-    small = small.repartition("key").sortWithinPartitions("key").select("key", "sid", "n", "bits")
+    small = small.repartition("key").sortWithinPartitions("key", "sid").select("key", "sid", "n", "bits")
     groups = connected_components(small.mapInArrow(lambda b: _plausible(b, num, den), "x long, y long").union(stars), "x", "y")
     sizes = parts.groupBy("sid").agg(F.max("n_shingles").alias("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("n", "sid")) - 1
@@ -367,7 +367,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
         for side, end in enumerate("ij")
     ]
     tasks = within.union(across[0]).union(across[1]).join(sets, "sid")
-    tasks = tasks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").select("grp", "i", "j", "side", "sid", "tokens")
+    tasks = tasks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "sid").select("grp", "i", "j", "side", "sid", "tokens")
     links = written(tasks.mapInArrow(lambda b: _verify(b, num, den), "x long, y long"), "links")
     labels = connected_components(links, "x", "y").withColumnRenamed("node", "sid")
 

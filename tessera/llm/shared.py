@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     # rows of text and of shingle sets can be long: small batches bound the memory of a task
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = tempfile.mkdtemp(prefix="tessera-ship-")
     archive = os.path.join(folder, "tessera_code.zip")
@@ -106,7 +106,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 64) ->
     written to the shared folder.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    # written first: edges that are one of several right choices must not be made twice
+    e = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")), "raw-edges")
     e = written(e.union(e.select("y", "x")).where("x <> y").distinct(), "edges")
     labels = written(e.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(rounds):

@@ -201,7 +201,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.uint64)
         self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,10 +221,9 @@ class WordEncoder:
             count = np.array([len(x) for x in found], np.int64)
             first = len(self.ids) + np.cumsum(count) - count
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
-            every = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(every, kind="stable")
-            self.hashes = every[order]
-            self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+            into = np.searchsorted(self.hashes, distinct[new])  # both are sorted
+            self.hashes = np.insert(self.hashes, into, distinct[new])
+            self.first, self.count = np.insert(self.first, into, first), np.insert(self.count, into, count)
             at = np.searchsorted(self.hashes, distinct)
         first, count = self.first[at][inverse], self.count[at][inverse]
         n_rows = len(offsets) - 1
@@ -277,7 +276,7 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str, path: str, end:
             stream = system.open_output_stream(own)
             writer = Writer(stream)
         ids = [0 if i is None else i for i in batch.column("doc_id").to_pylist()]
-        for row, data, offsets in A.text_slices(batch.column("text")):
+        for row, data, offsets in A.text_slices(batch.column("text"), 4 << 20):
             lengths, tokens = encoder.encode(data, offsets, end)
             writer.add(ids[row : row + len(lengths)], lengths, tokens)
         n_docs += len(ids)

@@ -224,6 +224,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the nearest examples) of every row of ``docs``; learned from ``labels`` (doc_id, toxic)."""
     model, counts = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a small table of few files, and much work a row
+    counts = counts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return counts.mapInArrow(lambda b: _score(b, shared.value), "doc_id long, score double, evidence array<long>")
 
 
