@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .shared import hash_sample, ship, written
 
-SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 256, 8, 64, (4, 5, 6, 7, 8)
+SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 128, 8, 64, (4, 5, 6, 7, 8)
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
