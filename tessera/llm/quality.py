@@ -248,9 +248,17 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """The rows of ``docs`` that ``train`` can take: those of the ``sample`` labels with the smallest hash among labels with a document."""
+    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = hash_sample(labels, "doc_id", sample, "quality").select("doc_id").distinct()  # at most ``sample`` rows: may be broadcast
+    return docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs``, as they are, that the base rules and the learned list keep."""
-    rules = train(text_statistics(docs), labels, sample)
+    rules = train(text_statistics(labelled(docs, labels, sample)), labels, sample)
     return text_statistics(docs, whole=True).where(~base_failed() & (list_expression(rules) == 0)).select("row.*")
 
 

@@ -392,3 +392,14 @@ def test_words_and_slices():
             for r in range(len(offsets) - 1):
                 got.append([raw[s:e].decode() for s, e, x in zip(starts, ends, rows) if x == r])
         assert got == [WORD.findall(t) for t in texts]
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 10_000])
+def test_labelled_rows_teach_the_same_list(spark, n):
+    """Statistics of only the rows that can be sampled give the list that those of all rows give, with repeated rows and labels too."""
+    docs = docs_of(spark, [" ".join(f"w{i}{j}" for j in range(20)) + " #" * (30 if i % 3 == 0 else 0) for i in range(120)])
+    docs = docs.union(docs.where("doc_id % 4 = 0"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 200, 2)] + [(None, 0), (6, None), (12, 0)], "doc_id long, quality int")
+    few = quality.labelled(docs, labels, n)
+    assert few.select("doc_id").distinct().count() <= n
+    assert quality.train(quality.text_statistics(few), labels, n) == quality.train(quality.text_statistics(docs), labels, n)
