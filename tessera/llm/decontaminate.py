@@ -7,8 +7,12 @@ Windows of ``width`` template tokens of every document are joined by hash with
 those of the benchmark items; a shorter item is one window of its own length.
 
 A document and an item are compared along each alignment (shift) of matching
-windows: the replaced values must map one to one (slot consistency).  The pair is
-contaminated if enough of the item's windows match under a consistent mapping.
+windows.  The replaced values should map one to one (slot consistency): each item
+value goes to the value that most of its occurrences became, and of item values that
+became one value only that with most occurrences keeps it (with equally many none
+does; a value that stayed the same goes first).  A window agrees if it follows this
+mapping or has the item's own values.  The pair is contaminated if enough of the
+item's windows agree.
 
 A bit filter of fixed size over the benchmark's window hashes keeps other windows
 out of the join; the join itself broadcasts the benchmark only if it has at most
@@ -22,6 +26,8 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,11 +93,11 @@ def _unit_hashes() -> np.ndarray:
 def _windows(batches: Iterator[pa.RecordBatch], width: int, lengths: list[int], bits: np.ndarray | None, own_only: bool) -> Iterator[pa.RecordBatch]:
     """Windows (id, pos, hash, slots): of documents those whose hash the filter may hold, of items (own_only) all.
 
-    slots: value hashes of the window's slot tokens, in order.
+    slots: value hashes of the window's slot tokens, in order; places: where in the text these tokens are.
     """
     for batch in batches:
         ids = batch.column(0)
-        out_id, out_pos, out_hash, out_total, out_w, out_slots = [], [], [], [], [], []
+        out_id, out_pos, out_hash, out_total, out_w, out_slots, out_places = [], [], [], [], [], [], []
         for row, data, offsets in A.text_slices(batch.column("text")):
             rows, template, value, slot = template_tokens(data, offsets)
             n_rows = len(offsets) - 1
@@ -113,21 +119,72 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, lengths: list[int],
                     out_total.append(int(count[r]) - w + 1)
                     out_w.append(w)
                     out_slots.append(value[i : i + w][slot[i : i + w]].view(np.int64).tolist())
+                    out_places.append((np.flatnonzero(slot[i : i + w]) + i - int(first[r])).tolist())
         yield pa.record_batch(
-            [ids.take(pa.array(out_id, pa.int64())), pa.array(out_pos, pa.int32()), pa.array(out_hash, pa.int64()), pa.array(out_total, pa.int32()), pa.array(out_w, pa.int32()), pa.array(out_slots, pa.list_(pa.int64()))],
-            names=["id", "pos", "hash", "total", "w", "slots"],
+            [ids.take(pa.array(out_id, pa.int64())), pa.array(out_pos, pa.int32()), pa.array(out_hash, pa.int64()), pa.array(out_total, pa.int32()), pa.array(out_w, pa.int32()), pa.array(out_slots, pa.list_(pa.int64())), pa.array(out_places, pa.list_(pa.int32()))],
+            names=["id", "pos", "hash", "total", "w", "slots", "places"],
         )
 
 
-_SCHEMA = "id long, pos int, hash long, total int, w int, slots array<long>"
+_SCHEMA = "id long, pos int, hash long, total int, w int, slots array<long>, places array<int>"
+
+
+def majority_mapping(seen: dict[tuple[int, int], set[int]]) -> dict[int, int]:
+    """Item value to document value, one to one, from the places of the item at which each pair of values was seen."""
+    rank = lambda p: (len(seen[p]), p[0] == p[1])
+    takes: dict[int, tuple[int, int]] = {}
+    for p in sorted(seen, key=lambda p: (min(seen[p]), p[1])):
+        if p[0] not in takes or rank(p) > rank(takes[p[0]]):
+            takes[p[0]] = p
+    claims: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for p in takes.values():
+        claims[p[1]].append(p)
+    out = {}
+    for ps in claims.values():
+        ps.sort(key=rank, reverse=True)
+        if len(ps) == 1 or rank(ps[0]) > rank(ps[1]):
+            out[ps[0][0]] = ps[0][1]
+    return out
+
+
+def in_order(places: list[tuple[int, int]]) -> int:
+    """The most (item, document) places of which each is after the one before in both texts."""
+    ends: list[int] = []
+    for _, d in sorted(places, key=lambda x: (x[0], -x[1])):
+        at = bisect_left(ends, d)
+        ends[at : at + 1] = [d]
+    return len(ends)
+
+
+def agreement(hits: list[dict]) -> tuple[int, int, bool, bool]:
+    """Windows matched, windows that agree, whether all slot values are equal, whether all map one to one."""
+    seen: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for h in hits:
+        for a, b, at in zip(h["item_slots"], h["doc_slots"], h["places"]):
+            seen[a, b].add(at)
+    maps = majority_mapping(seen)
+    follows = lambda h: h["item_slots"] == h["doc_slots"] or all(maps.get(a) == b for a, b in zip(h["item_slots"], h["doc_slots"]))
+    place = lambda h: (h["item_pos"], h["doc_pos"])
+    return in_order([place(h) for h in hits]), in_order([place(h) for h in hits if follows(h)]), all(a == b for a, b in seen), all(maps.get(a) == b for a, b in seen)
+
+
+def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [agreement(h) for h in batch.column("hits").to_pylist()]
+        matched, agreed, exact, consistent = zip(*found) if found else ((), (), (), ())
+        kept = ["doc_id", "item_id", "shift", "n_windows"]
+        yield pa.record_batch(
+            [*[batch.column(c) for c in kept], pa.array(matched, pa.int64()), pa.array(agreed, pa.int64()), pa.array(exact, pa.bool_()), pa.array(consistent, pa.bool_())],
+            names=[*kept, "n_matched", "n_agreed", "exact", "consistent"],
+        )
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = 0.5) -> DataFrame:
     """One row per (doc_id, item_id) with a matching window.
 
-    n_windows of the item, n_matched of them, exact (all slot values equal),
-    consistent (values map one to one), contaminated (consistent, and coverage of
-    the windows reached).
+    n_windows of the item, n_matched of them, n_agreed of these under one mapping of
+    values, exact (all slot values equal), consistent (all values map one to one),
+    contaminated (n_agreed reaches the coverage of the windows).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -139,23 +196,20 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
     found = docs.mapInArrow(lambda b: _windows(b, width, lengths, bits.value, False), _SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", F.col("slots").alias("doc_slots"))
-    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("total").alias("n_windows"), F.col("slots").alias("item_slots"))
+    right = bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("total").alias("n_windows"), F.col("slots").alias("item_slots"), "places")
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         right = F.broadcast(right)
     hits = found.join(right, "hash").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    slots = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda p: p["item_slots"].isNotNull())
+    # a group holds at most one hit for each window of the item
     per = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.countDistinct("item_pos").alias("n_matched"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
+        F.max("n_windows").cast("long").alias("n_windows"),
+        F.collect_list(F.struct("item_pos", "doc_pos", "item_slots", "doc_slots", "places")).alias("hits"),
     )
-    side = lambda s: F.size(F.array_distinct(F.col(f"pairs.{s}")))
-    per = per.withColumn("consistent", (side("item_slots") == F.size("pairs")) & (side("doc_slots") == F.size("pairs")))
-    per = per.withColumn("exact", F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]))
-    per = per.withColumn("contaminated", F.col("consistent") & (F.col("n_matched") >= coverage * F.col("n_windows")))
-    best = F.struct("contaminated", "n_matched", "exact", "consistent", (-F.col("shift")).alias("s"), "n_windows")
+    per = per.mapInArrow(_agreements, "doc_id long, item_id long, shift int, n_windows long, n_matched long, n_agreed long, exact boolean, consistent boolean")
+    per = per.withColumn("contaminated", F.col("n_agreed") >= coverage * F.col("n_windows"))
+    best = F.struct("contaminated", "n_agreed", "n_matched", "exact", "consistent", (-F.col("shift")).alias("s"), "n_windows")
     best = per.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_matched").cast("long").alias("n_matched"), "b.exact", "b.consistent", "b.contaminated")
+    return best.select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.n_agreed", "b.exact", "b.consistent", "b.contaminated")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:

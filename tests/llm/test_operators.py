@@ -199,6 +199,23 @@ def test_decontamination_of_templates(spark):
     assert not {4, 6, 7} & set(rows)
 
 
+PASSAGE = (
+    "the old bridge was built in 1912 by a small crew of masons from the valley who cut the stone by hand and since 1912 it has carried"
+    " the road over the river without any repair at all"
+)
+
+
+def test_decontamination_with_one_altered_value(spark):
+    """A verbatim passage in which one of two equal numbers was altered, as it is and with all other values replaced too."""
+    texts = [f"intro {PASSAGE[::-1].replace('1912'[::-1], '1921'[::-1], 1)[::-1]} end", "nothing of the sort is told here in 1912 by anyone at all"]
+    other = "every box holds 5 red pens and 5 blue pens so 40 boxes hold some pens and 5 more are lost on the way to the shop in the old town"
+    texts += [other.replace("40", "60").replace(" 5 ", " 7 ").replace("7 more", "8 more")]
+    rows = {r.doc_id: r for r in decontaminate.leaks(docs_of(spark, texts), bench(spark, [(1, PASSAGE), (2, other)])).collect()}
+    assert set(rows) == {0, 2}
+    assert rows[0].n_matched == rows[0].n_windows and rows[0].contaminated and not rows[0].consistent and not rows[0].exact
+    assert rows[2].contaminated and not rows[2].consistent and rows[2].n_agreed < rows[2].n_matched
+
+
 def test_decontamination_finds_contained_items(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in (d.text or "")}
