@@ -216,6 +216,32 @@ def test_decontamination_with_one_altered_value(spark):
     assert rows[2].contaminated and not rows[2].consistent and rows[2].n_agreed < rows[2].n_matched
 
 
+STORY = "James buys 5 apples and 3 pears at the market. James eats 2 apples on the way home. How many apples and pears does James have left?"
+TRAVEL = (
+    "a group of 12 students left the station early in the morning to visit Paris with their teacher and they paid 40 euros"
+    " for every ticket so how much money did the whole group of students spend"
+)
+
+
+def test_decontamination_of_names_and_shifted_words(spark):
+    """Names that begin sentences, names of other lengths and words put in or left out."""
+    items = bench(spark, [(1, STORY), (2, TRAVEL)])
+    texts = [
+        STORY.replace("James", "Maria"), STORY.replace("James", "Mary Ann").replace("5", "9"), "Problem: \"" + STORY.replace("James", "Maria") + "\"", TRAVEL.replace("Paris", "New York"),
+        TRAVEL.replace("with their", "together with their"), TRAVEL.replace("with their teacher", "with teacher").replace("12", "15"), TRAVEL.replace("Paris", "the small town"),
+        "Maria has 5 dogs. James likes 3 of them. Paris is far away.", STORY[:40] + " and nothing else", " ".join(reversed(TRAVEL.split())),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), items).where("contaminated").collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
+
+
+def test_decontamination_counts_repeats_once(spark):
+    """A short run of numbers is not the long list of numbers that it would match at many shifts, nor are sentences of one word others."""
+    items = bench(spark, [(1, " ".join(str(i) for i in range(100, 130))), (2, "Dog. Cat. Bird. Fish. Cow. Horse.")])
+    texts = [" ".join(str(i) for i in range(200, 211)), "Red. Green. Blue. White. Black. Brown."]
+    assert not decontaminate.leaks(docs_of(spark, texts), items).where("contaminated").count()
+
+
 def test_decontamination_finds_contained_items(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in (d.text or "")}
