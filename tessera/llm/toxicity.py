@@ -52,7 +52,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each term the documents of either label that hold it, within a batch."""
+    """For each term the documents that hold it and the toxic ones of these, within a slice: their sums are whole, however examples fall into slices."""
     for batch in batches:
         label = np.array(batch.column("toxic").to_pylist(), np.int64)
         for row, data, offsets in A.text_slices(batch.column("text")):
@@ -65,10 +65,7 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct, at = np.unique(terms, return_inverse=True)
             pos = np.bincount(at, weights=label[row + rows], minlength=len(distinct)).astype(np.int64)
             every = np.bincount(at, minlength=len(distinct))
-            keep = pos > 0  # the label never comes with the others
-            yield pa.record_batch({"term": pa.array(distinct[keep].view(np.int64)), "pos": pa.array(pos[keep]), "n": pa.array(every[keep])})
-            rest = ~keep & (every > 1)
-            yield pa.record_batch({"term": pa.array(distinct[rest].view(np.int64)), "pos": pa.array(pos[rest]), "n": pa.array(every[rest])})
+            yield pa.record_batch({"term": pa.array(distinct.view(np.int64)), "pos": pa.array(pos), "n": pa.array(every)})
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -389,6 +389,21 @@ def test_block_max_is_exact():
             assert [(pytest.approx(-s, abs=2e-9), j) for s, j in want] == index.nearest(*vectors[i], 8, skip=i) or [round(-s, 6) for s, _ in want] == [round(s, 6) for s, _ in index.nearest(*vectors[i], 8, skip=i)]
 
 
+def test_term_counts_do_not_depend_on_slices():
+    table = pa.table({"text": ["vile words here", "fine words here", "fine day", "calm day words", None], "toxic": pa.array([1, 0, 0, 0, 1], pa.int32())})
+
+    def counts(rows):
+        out = {}
+        for batch in toxicity._term_labels(iter(table.to_batches(max_chunksize=rows))):
+            for r in batch.to_pylist():
+                a, m = out.get(r["term"], (0, 0))
+                out[r["term"]] = a + r["pos"], m + r["n"]
+        return out
+
+    assert counts(1) == counts(2) == counts(5)
+    assert (1, 3) in counts(1).values() and (0, 1) in counts(5).values()  # words; calm
+
+
 def test_held_out_accuracy(spark, sf):
     got = toxicity.op10_query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
     for r in got:
