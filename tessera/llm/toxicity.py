@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Terms are lower-cased runs of letters and their first 4 to 8 bytes.  The
-vocabulary are the terms that a sample of labelled documents associates with the
-label (chi-square), at most ``vocabulary`` of them.  Document frequencies are counted
-over all documents.  The examples are the sample's documents.
+vocabulary are all terms that a sample of labelled documents associates with either
+label (chi-square over ``LIMIT``, ``SEEN`` documents of that label at least).  A word
+counts once, as that of its terms with the largest chi-square.  Document frequencies
+are counted over all documents.  The examples are the sample's documents.
 
 Each document's k nearest examples are found exactly with a block-max inverted
 index: examples are numbered and cut into blocks; each term has its largest weight
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .shared import hash_sample, ship, written
 
-SAMPLE, VOCABULARY, NEAREST, BLOCK, PREFIXES = 8_000, 128, 8, 64, (4, 5, 6, 7, 8)
+SAMPLE, LIMIT, SEEN, NEAREST, BLOCK, PREFIXES = 8_000, 15, 3, 8, 64, (4, 5, 6, 7, 8)
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
@@ -68,21 +69,38 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"term": pa.array(distinct.view(np.int64)), "pos": pa.array(pos), "n": pa.array(every)})
 
 
-def _vectors(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _best_terms(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray, rank: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number of the term of least rank) of every word that has a term of the vocabulary."""
+    starts, ends, rows = A.word_spans(data, offsets, _OTHER)
+    best = np.full(len(starts), -1)
+    for n in (0, *PREFIXES):
+        at = np.flatnonzero(ends - starts >= n)
+        h = A.span_hashes(data, starts[at], starts[at] + n, fold=True) ^ np.uint64(0x5DEECE66D0000000 + n) if n else A.span_hashes(data, starts, ends, fold=True)
+        hit = np.flatnonzero(may[h >> np.uint64(44)])
+        at, h = at[hit], h[hit]
+        t = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
+        hit = terms[t] == h if len(terms) else np.zeros(0, bool)
+        at, t = at[hit], t[hit]
+        better = (best[at] < 0) | (rank[t] < rank[best[at]]) if len(at) else np.zeros(0, bool)
+        best[at[better]] = t[better]
+    return rows[best >= 0], best[best >= 0]
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], terms: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Numbers and counts of the vocabulary's terms in each text, ascending by number."""
+    may = np.zeros(1 << 20, bool)
+    may[terms >> np.uint64(44)] = True
     for batch in batches:
         numbers, counts = [], []
         for _, data, offsets in A.text_slices(batch.column("text")):
             n_rows = len(offsets) - 1
-            rows, found = _terms(data, offsets)
-            at = np.minimum(np.searchsorted(terms, found), max(len(terms) - 1, 0))
-            hit = terms[at] == found if len(terms) else np.zeros(len(found), bool)
-            key, count = np.unique(rows[hit].astype(np.int64) * max(len(terms), 1) + at[hit], return_counts=True)
+            rows, found = _best_terms(data, offsets, terms, rank, may)
+            key, count = np.unique(rows.astype(np.int64) * max(len(terms), 1) + found, return_counts=True)
             bounds = np.searchsorted(key, np.arange(n_rows + 1) * max(len(terms), 1))
             number = key % max(len(terms), 1)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                numbers.append(number[a:b].tolist())
-                counts.append(count[a:b].tolist())
+                numbers.append(number[a:b])
+                counts.append(count[a:b])
         yield pa.record_batch([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[*[c for c in batch.schema.names if c != "text"], "terms", "counts"])
 
 
@@ -92,32 +110,41 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lists[t].append((i, w))
-        self.docs = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.starts = [np.searchsorted(d, np.arange(self.n_blocks + 1) * block) for d in self.docs]
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        docs = np.repeat(np.arange(self.n), sizes)
+        of = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
+        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
+        order = np.lexsort((docs, of))  # lists of the terms, one after the other
+        self.docs, self.weights, of = docs[order], weights[order], of[order]
+        cell = of * self.n_blocks + self.docs // block
+        edges = np.arange(n_terms)[:, None] * self.n_blocks + np.arange(self.n_blocks + 1)
+        self.starts = np.searchsorted(cell, edges)
         self.most = np.zeros((n_terms, self.n_blocks), np.float64)
-        for t, (d, w) in enumerate(zip(self.docs, self.weights)):
-            np.maximum.at(self.most[t], d // block, w)
+        np.maximum.at(self.most, (of, self.docs // block), self.weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k most similar with a similarity over 0, most similar first, ties by number."""
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-9 < -best[-1][0]:
+        at, step, starts = 0, 4, self.starts[terms]
+        while at < len(order):  # some blocks at a time, more as it goes on
+            chosen = order[at : at + step]
+            chosen = chosen[bound[chosen] > 0]
+            if not len(chosen) or len(best) == k and bound[chosen[0]] + 1e-9 < -best[-1][0]:
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                i, j = self.starts[t][b], self.starts[t][b + 1]
-                if j > i:
-                    score[self.docs[t][i:j] - b * self.block] += w * self.weights[t][i:j]
+            at, step = at + step, step * 2
+            i, j = starts[:, chosen].ravel(), starts[:, chosen + 1].ravel()
+            n = (j - i).astype(np.int64)
+            places = np.repeat(i - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score = np.bincount(self.docs[places], self.weights[places] * np.repeat(np.repeat(weights, len(chosen)), n), self.n)
             score = np.round(score, 9)
-            best += [(-float(score[i]), b * self.block + i) for i in np.flatnonzero(score > 0).tolist() if b * self.block + i != skip]
+            if 0 <= skip < self.n:
+                score[skip] = 0
+            found = np.flatnonzero(score > 0)
+            if len(found) > k:  # only what may be among the k most similar
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            best += [(-float(score[x]), x) for x in found.tolist()]
             best.sort()
             del best[k:]
         return [(-s, i) for s, i in best]
@@ -177,19 +204,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     known: dict[tuple, tuple[float, list[int]]] = {}
     for batch in batches:
         scores, evidence = [], []
-        for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-            key = tuple(terms), tuple(counts)
+        terms, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
+        ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        for a, b in zip([0, *ends[:-1]], ends):
+            key = terms[a:b].tobytes(), counts[a:b].tobytes()
             if key not in known:
-                if len(known) > 200_000:
+                if len(known) > 20_000:
                     known.clear()
-                known[key] = model.score(terms, counts)
+                known[key] = model.score(terms[a:b], counts[a:b])
             s, e = known[key]
             scores.append(s)
             evidence.append(e)
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, k: int = NEAREST) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = LIMIT, k: int = NEAREST) -> tuple[Model, DataFrame]:
     """The model, and the term counts of all documents that it scores."""
     spark = docs.sparkSession
     ship(spark)
@@ -205,10 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         seen = examples.mapInArrow(_term_labels, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("n").alias("m"))
         a, m = F.col("a"), F.col("m")
         chi = n * F.pow(a * n - m * p, 2) / (m * F.greatest(n - m, F.lit(0.5)) * max(p, 0.5) * max(n - p, 0.5))
-        best = seen.where((a >= 3) & (a * n > 3 * m * p)).withColumn("chi", chi).where("chi > 15")
-        terms = np.sort(np.array([r.term for r in best.orderBy(F.desc("chi"), "term").limit(vocabulary).collect()], np.int64).view(np.uint64))
-    counts = written(docs.mapInArrow(lambda b: _vectors(b, terms), "doc_id long, terms array<int>, counts array<int>"), "terms")
-    own = examples.mapInArrow(lambda b: _vectors(b, terms), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms", "counts").collect()
+        enough = F.when(a * n > m * p, a).otherwise(m - a) >= SEEN
+        best = seen.where(enough).withColumn("chi", chi).where(F.col("chi") > limit)
+        best = best.orderBy(F.desc("chi"), "term").collect()  # of a bounded sample
+        terms = np.array([r.term for r in best], np.int64).view(np.uint64)
+    rank = np.argsort(terms)
+    terms = terms[rank]
+    counts = written(docs.mapInArrow(lambda b: _vectors(b, terms, rank), "doc_id long, terms array<int>, counts array<int>"), "terms")
+    own = examples.mapInArrow(lambda b: _vectors(b, terms, rank), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms", "counts").collect()
     n_docs = counts.count()
     idf = np.full(len(terms), np.log(n_docs + 1.0) + 1)
     for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a term of the vocabulary

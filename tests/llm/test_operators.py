@@ -404,6 +404,20 @@ def test_term_counts_do_not_depend_on_slices():
     assert (1, 3) in counts(1).values() and (0, 1) in counts(5).values()  # words; calm
 
 
+def test_vocabulary_is_whole(spark):
+    """Each of 300 toxic words and of the clean ones is a term, more than any fixed number of places; a word counts once."""
+    import itertools
+
+    roots = ["".join(x) for x in itertools.islice(itertools.permutations("bcdfghjk", 5), 300)]
+    texts = [f"{roots[i % 300]} {roots[(i + 1) % 300]} zzz" for i in range(1500)] + [f"calm{chr(97 + i % 20)} quiet" for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i < 1500)) for i in range(3000)], "doc_id long, toxic int")
+    model, counts = toxicity.fit(docs_of(spark, texts), labels, limit=3)
+    rows = {r.doc_id: r for r in counts.collect()}
+    assert len(model.terms) > 300
+    assert all(sum(rows[i].counts) == len(texts[i].split()) for i in rows)  # a word once, and none left out
+    assert min(model.score(r.terms, r.counts)[0] for i, r in rows.items() if i < 1500) > 0.7 > 0.3 > max(model.score(r.terms, r.counts)[0] for i, r in rows.items() if i >= 1500)
+
+
 def test_held_out_accuracy(spark, sf):
     got = toxicity.op10_query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
     for r in got:
