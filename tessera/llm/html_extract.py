@@ -5,11 +5,13 @@ length of its text, its punctuation and its link text are aggregated; length and
 punctuation per node are smoothed along the page, fused to one score per node,
 and the paths above a threshold of the page mark its content.  The content node
 is the article or main element with the largest score or, without one, the lowest
-node above the marked paths; its visible blocks in page order are the text.
+node above the marked paths; its visible blocks in page order are the text, less those
+of paths under the threshold that are mostly links.
 
 Scripts, styles, forms, menus, headers and footers of the page, sidebars, notices,
 adverts and reader comments are told by tag, role or a word of class or id, and
-take no part.
+take no part.  Words that also name a layout (``LAYOUT``) hide an element only if its
+blocks have at most half of the page's score.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags,
 pages that end anywhere and unquoted attributes are read as far as they go; very
@@ -46,6 +48,7 @@ WORDS = frozenset(
     " sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar topbar comment comments disqus reply replies respond discussion"
     " share sharing social related recommended recommendations newsletter subscribe subscription signup login signin widget widgets copyright pager pagination paywall hidden".split()
 )
+LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation header footer masthead toolbar topbar banner overlay modal notice notices social related widget widgets share sharing".split())
 IN_ARTICLE = {"header"}  # words and tags that only count outside an article
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -59,7 +62,9 @@ def _words(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """None: by words of ``LAYOUT`` only."""
+    layout = False
     if tag in DROP or (tag == "header" and not in_article):
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -69,21 +74,24 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id") and tag not in ("html", "body", "main", "article") or name in ("class", "id") and tag == "article":
             found = _words(value) & WORDS
             if found and not (in_article and found <= IN_ARTICLE):
-                return True
+                if not found <= LAYOUT:
+                    return True
+                layout = True
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
+    return None if layout else False
 
 
 class _Node:
-    """An open block element: its path, whether it is boilerplate, the article it belongs to, its parent."""
+    """An open block element: its path, whether it is boilerplate, the article it belongs to, its parent, the elements around it that layout words would hide."""
 
-    __slots__ = ("tag", "path", "hidden", "article", "up", "depth")
+    __slots__ = ("tag", "path", "hidden", "article", "up", "depth", "layout")
 
     def __init__(self, tag, path, hidden, article, up):
         self.tag, self.path, self.hidden, self.article, self.up = tag, path, hidden, article, up
+        self.layout = up.layout if up else ()
         self.depth = up.depth + 1 if up else 0
 
 
@@ -147,12 +155,26 @@ def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
             if x.up and x.tag in inner:
                 up = x.up
         node = up
-        hidden = node.hidden or _is_boilerplate(tag, m[3], node.article is not None)
+        boilerplate = _is_boilerplate(tag, m[3], node.article is not None)
+        hidden = node.hidden or bool(boilerplate)
         node = _Node(tag, f"{node.path}/{tag}", hidden, node.article, node)
+        if boilerplate is None and not hidden:
+            node.layout = (*node.layout[-31:], node)
         if tag in ("article", "main") and not hidden and (node.article is None or node.article.tag == "main" and tag == "article"):
             node.article = node
     flush()
-    return out
+    return _without_layout(out) if any(n.layout for n, _, _ in out) else out
+
+
+def _without_layout(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that are in no element of layout words with at most half of the page's score."""
+    scores, _ = path_scores(blocks)
+    within: dict[int, float] = {}
+    for (node, _, _), score in zip(blocks, scores):
+        for x in node.layout:
+            within[id(x)] = within.get(id(x), 0.0) + score
+    most = 0.5 * sum(scores)
+    return [b for b in blocks if all(within[id(x)] > most for x in b[0].layout)]
 
 
 def path_scores(blocks: list[tuple[_Node, str, int]]) -> tuple[list[float], float]:
@@ -189,7 +211,7 @@ def main_text(page: str | None) -> str:
             articles[id(node.article)][1].append(i)
     if articles:
         most = max(v[0] for v in articles.values())
-        keep = sorted(i for v in articles.values() if v[0] >= 0.2 * most for i in v[1])
+        keep = sorted(i for v in articles.values() if v[0] >= 0.2 * most for i in v[1] if scores[i] >= least or 2 * blocks[i][2] <= len(blocks[i][1]))
     else:
         marked = [blocks[i][0] for i in range(len(blocks)) if scores[i] >= least] or [b[0] for b in blocks]
         top = marked[0].up or marked[0]

@@ -286,6 +286,22 @@ def test_html_cases(page, want):
     assert html_extract.main_text(page) == want
 
 
+PROSE = "".join(f"<p>Sentence {i} is long, has marks, and tells something.</p>" for i in range(4))
+SAID = "\n".join(f"Sentence {i} is long, has marks, and tells something." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1>T</h1>{PROSE}<ul class=x><li><a href=a>One more</a><li><a href=b>Another</a></ul></article>", f"T\n{SAID}"),
+        (f"<div class='layout-with-sidebar'><article><h1>T</h1>{PROSE}</article></div>", f"T\n{SAID}"), (f"<article class='post related'>{PROSE}</article>", SAID),
+        (f"<div class=has-sidebar><article>{PROSE}</article><div class=sidebar><p>Text of it.</p></div></div>", SAID), (f"<article>{PROSE}</article><div class=sidebar><article>Other, text.</article></div>", SAID),
+    ],
+)
+def test_html_scores_decide(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_extra_columns_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>t</p>", "x"), (1, "u", "<div>" * 5000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()) == [("", 0), ("deep", 4), ("t", 1)]
