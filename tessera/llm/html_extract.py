@@ -38,10 +38,11 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp", "title", "svg", "math", "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "xmp", "title"}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
+EMBEDDED = {"noscript", "template", "svg", "math", "select", "object", "canvas", "audio", "video"}  # skipped up to their end, if that is within the block
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-DROP = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head", "fieldset", "search"}
+DROP = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head", "fieldset", "search", *EMBEDDED}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay"
@@ -55,7 +56,7 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
-_raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+_raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW | EMBEDDED}
 
 
 def _words(value: str) -> set[str]:
@@ -101,6 +102,7 @@ def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
     node = root = _Node("", "", False, None, None)
     pieces: list[str] = []
     links = in_link = at = 0
+    ends: dict[str, re.Match | None] = {}  # the next end of each embedded element
 
     def flush() -> None:
         nonlocal pieces, links
@@ -128,6 +130,14 @@ def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
                 end = _raw_end[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if tag in ("svg", "math") and not m[1] and m[3].endswith("/>"):
+            continue
+        if tag in EMBEDDED and not m[1]:
+            if tag not in ends or ends[tag] and ends[tag].start() < at:
+                ends[tag] = _raw_end[tag].search(page, at)
+            if (end := ends[tag]) and not re.compile(f"</{re.escape(node.tag or 'body')}[\\s/>]", re.I).search(page, at, end.start()):
+                at = end.end()
+                continue
         if tag == "br":
             pieces.append(" ")
         elif tag == "a":

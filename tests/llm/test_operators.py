@@ -302,6 +302,13 @@ def test_html_scores_decide(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg class=x />", "<math/>", "<video src=x>", "<object data=x>", "<svg><text>no</text></svg>", "<select><option>no</select>"])
+def test_html_elements_without_end(tag):
+    assert html_extract.main_text(f"<article><div>{PROSE}{tag}</div>{PROSE}</article>") == f"{SAID}\n{SAID}"
+    if "/>" in tag or "</" in tag:
+        assert html_extract.main_text(f"<article><p>a, b. {tag} c, d.</p></article>") == "a, b. c, d."
+
+
 def test_html_extra_columns_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>t</p>", "x"), (1, "u", "<div>" * 5000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()) == [("", 0), ("deep", 4), ("t", 1)]
