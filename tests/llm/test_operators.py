@@ -256,6 +256,13 @@ def test_raking_meets_targets(spark, sf):
     assert expected == pytest.approx(mixing.BUDGET * total, rel=1e-9)
 
 
+def test_raking_goes_on_while_the_error_falls(spark, caplog):
+    cells = [("a", "x", "t", 1, 1000), ("a", "y", "t", 1, 1), ("b", "x", "t", 1, 1), ("b", "y", "t", 1, 1000)]
+    cells = spark.createDataFrame(cells, "source string, lang string, topic string, n_docs int, tokens long")
+    goal = {m: spark.createDataFrame([(k, x) for k, x in zip(keys, (0.7, 0.3) if m == "source" else (0.5, 0.5))], f"{m} string, share double") for m, keys in (("source", "ab"), ("lang", "xy"))}
+    assert mixing.margin_error(mixing.rake(cells, targets=goal, rounds=1)) <= mixing.TOLERANCE and not caplog.records
+
+
 def test_mixing_with_given_targets(spark):
     cells = spark.createDataFrame([("a", "x", "t", 1, 90), ("b", "x", "t", 1, 10), (None, "x", "t", 1, 0)], "source string, lang string, topic string, n_docs int, tokens long")
     goal = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 1.0)], "source string, share double")
