@@ -6,11 +6,13 @@ placeholders, so a question with other numbers or names keeps its template.
 Windows of ``width`` template tokens of every document are joined by hash with
 those of the benchmark items; a shorter item is one window of its own length.
 
-Every text has two readings, compared apart.  In the first a capitalised word that
+Every text has three readings, compared apart.  In the first a capitalised word that
 begins a sentence is a word like others, and each name is one placeholder.  In the
 second such a word may be a name too, and a run of names is one placeholder, so
-names may change at the start of a sentence and in length; of its windows those
-count of which at least half is not placeholders.
+names may change at the start of a sentence and in length.  In the third no word is a
+name, so a copy in other case has the item's template.  Of the second and third reading those windows
+count of which at least half is not placeholders; a window of the first of which four
+fifths or more are placeholders tells nothing by its template, so its values belong to its hash.
 
 A document and an item are compared along matching windows whose shifts (place in
 the document less place in the item) are at most ``NEAR`` apart, each after the one
@@ -27,8 +29,9 @@ out of the join; the join itself broadcasts the benchmark only if it has at most
 
 Edge cases: null and empty texts and items have no windows and match nothing;
 items with fewer than ``LEAST`` tokens are not searched; equal items and
-repeated documents each give their pairs once; null ids are skipped; other columns
-are ignored.
+repeated documents each give their pairs once; null ids are skipped (``clean_documents``
+judges rows by id and text, so it needs no id); very long texts are read whole, a task holds one at a time;
+empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ UNITS = (
     " v volt volts hz mhz ghz b kb mb gb tb degree degrees c f k mph kmh"
 ).split()
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x1111222233334444, 0x5555666677778888, 0x9999AAAABBBBCCCC))
-_SECOND = np.uint64(0x2468ACE013579BDF)  # tells windows of the second reading
+_READING = [np.uint64(x) for x in (0, 0x2468ACE013579BDF, 0x1357BDF02468ACE9)]  # tells windows of the readings
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _DIGIT = np.zeros(256, bool)
@@ -62,7 +65,7 @@ _END[[ord(c) for c in ".!?:\n\"|"]] = True
 
 
 def template_tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each of two readings, per token: its row, the hash of its template, the hash of its value, whether it is a slot."""
+    """For each of three readings, per token: its row, the hash of its template, the hash of its value, whether it is a slot."""
     joins = np.zeros(len(data), bool)  # . or , between digits belongs to the number
     if len(data) > 2:
         joins[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
@@ -70,7 +73,7 @@ def template_tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndar
     starts, ends, rows = A.word_spans(view, offsets, _OTHER)
     value = A.span_hashes(data, starts, ends, fold=True)
     if not len(starts):
-        return [(rows, value, value, np.zeros(0, bool))] * 2
+        return [(rows, value, value, np.zeros(0, bool))] * 3
     head = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
     number = _DIGIT[head]
@@ -90,6 +93,7 @@ def template_tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndar
     unit = after_number & (units[np.minimum(np.searchsorted(units, value), len(units) - 1)] == value)
     template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     first = rows, template, value, number | unit | name
+    third = rows, np.where(name & ~unit, value, template), value, number | unit
     capital &= ~unit
     template = np.where(capital, _NAME, np.where(name, value, template))
     starts_run = np.ones(len(rows), bool)
@@ -97,7 +101,7 @@ def template_tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndar
     at = np.flatnonzero(starts_run)
     place = (np.arange(len(rows)) - at[np.cumsum(starts_run) - 1]).astype(np.uint64)
     value = np.add.reduceat(np.where(place > 0, A.mix(value + place), value), at)
-    return [first, (rows[at], template[at], value, (number | unit | capital)[at])]
+    return [first, (rows[at], template[at], value, (number | unit | capital)[at]), third]
 
 
 def _unit_hashes() -> np.ndarray:
@@ -126,9 +130,13 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, lengths: list[int],
                     good = rows[: len(h)] == rows[w - 1 :][: len(h)] if len(h) else np.zeros(0, bool)
                     if own_only and len(h):
                         good &= (count[rows[: len(h)]] == w) if w < width else (count[rows[: len(h)]] >= width)
-                    if reading and len(h):
-                        h = h ^ _SECOND
-                        good &= 2 * (slots_before[w:] - slots_before[:-w]) <= w
+                    if len(h):
+                        n_slots = slots_before[w:] - slots_before[:-w]
+                        if reading:
+                            h = h ^ _READING[reading]
+                            good &= 2 * n_slots <= w
+                        else:
+                            h = np.where(5 * n_slots >= 4 * w, A.mix(h + A.window_hashes(np.where(slot, value, template), w)), h)
                     if bits is not None and len(h):
                         good &= may_hold(bits, h)
                     for i in at[good].tolist():
@@ -245,7 +253,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     hits = hits.withColumn("span", F.explode(F.array(span, span - 1)))
     per = hits.groupBy("doc_id", "item_id", "reading", "span").agg(
         F.max("n_windows").cast("long").alias("n_windows"),
-        F.collect_list(F.struct("item_pos", "doc_pos", "item_slots", "doc_slots", "places")).alias("hits"),
+        F.collect_set(F.struct("item_pos", "doc_pos", "item_slots", "doc_slots", "places")).alias("hits"),  # repeated rows once, before the exchange
     )
     per = per.mapInArrow(_agreements, _FOUND)
     per = per.withColumn("contaminated", F.col("n_agreed") >= coverage * F.col("n_windows"))
@@ -256,11 +264,13 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates."""
-    bad = written(leaks(docs, items).where("contaminated").select("doc_id").distinct(), "leaks")
+    """The rows of ``docs`` that no benchmark item contaminates; rows are told apart by a 64-bit hash of id and text."""
+    mark = F.xxhash64("doc_id", "text")
+    bad = leaks(docs.select(mark.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_mark")).distinct()
+    bad = written(bad, "leaks")
     if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.select(F.struct("*").alias("row"), mark.alias("_mark")).join(bad, "_mark", "left_anti").select("row.*")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -7,25 +7,32 @@ Documents whose sets of k-word shingles have Jaccard similarity of at least
    only orders shingles from rare to frequent; any order gives the same result.
 2. Large sets are cut by hash into R classes, R growing with the size: if two sets
    have Jaccard similarity t, their parts in some class have it too.  A set takes
-   part with the R of its own size and of the largest partner's, so the two meet.
+   part with every R from that of its own size to that of the largest partner's, so the two meet.
    Two parts of similarity t share a shingle among the ``n - ceil(t n) + 1`` rarest
    of each (prefix filter).  Equal sets count as one.  Within each bucket of such a
    shingle a signature tree finds the pairs of parts that their bitmaps and sizes
    allow; connected components of these are candidate groups.
 3. A candidate group is ordered by set size and cut into leaves of a bounded
-   number of sets.  A leaf is a node of the signature tree: OR-combined token
-   bitmap, size range, fewest bits of a member.  Leaf pairs whose largest
-   possible overlap is too small are pruned; for the rest a task builds the lower
-   levels and traverses both trees together, verifies what remains on the whole
-   sets, and returns links that span its components.
-4. Connected components of the links.
+   number of sets and shingles.  A leaf is a node of the signature tree: OR-combined token
+   bitmap, size range, fewest bits of a member; ``FAN`` leaves make a node above.  Every leaf
+   is verified in itself and against the next one: a task builds the lower levels,
+   traverses the trees together, verifies what the bitmaps leave on the whole sets, and
+   returns links that span its components.
+4. A group of several leaves is cut again, in the order of the components found so
+   far.  Dual traversal from the nodes above: pairs of nodes whose largest possible
+   overlap is too small, or whose members all lie in one component, are pruned; the leaf
+   pairs that remain are verified like those before.
+5. Connected components of all links.
 
 Any number of equal or near copies is handled: equal sets collapse before the
-shuffle, a group is split into leaves, each task holds two leaves at most.
+shuffle, rows of frequent shingles are dealt by shingle and set, a large group is
+split into leaves by ranges, each task holds two leaves at most, and of a group that
+step 3 connects step 4 has nothing left to compare.
 
 Edge cases: null, empty or wordless texts have no shingles and link with
 nothing; fewer words than k make one shingle of the whole sequence; repeated
-rows (even repeated or null doc_ids) each get their row; other columns of the
+rows (even repeated or null doc_ids) each get their row; very long texts are
+taken whole, a task holds one beside a MB of others; other columns of the
 input are ignored; an empty table gives an empty result.
 """
 
@@ -40,13 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import arrays as A
-from .shared import connected_components, hash_filter, may_hold, ship, written
+from .shared import connected_components, hash_filter, may_hold, remove, ship, written
 
 SKETCH_BITS = 22
 FILTER_BITS = 24
 SIGNATURE_WORDS = 16
-LEAF = 512
-BUCKET = 4096
+LEAF, LEAF_SHINGLES, FAN = 512, 1 << 21, 64
+BUCKET, HOT, SALTS, SHARDS = 4096, 13, 64, 16
 PART = 768
 
 
@@ -84,17 +91,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def classes_of(n: int, num: int, den: int) -> list[int]:
     """The numbers of classes into which a set of n shingles is cut."""
-    out = []
-    for size in (n, n * den // num):
-        r = 1
-        while size > r * PART:
-            r *= 2
+    r, out = 1, []
+    while n > r * PART:
+        r *= 2
+    while True:
         out.append(r)
-    return sorted(set(out))
+        if n * den // num <= r * PART:
+            return out
+        r *= 2
 
 
 def _parts(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class id, the part's shingles, its rarest shingles as keys) of each part of a set."""
+    """(class id, the part's shingles, its rarest shingles as keys, which of these may be frequent) of each part of a set."""
     for r in classes_of(len(s), num, den):
         of = s & np.uint64(r - 1)
         for c in range(r):
@@ -104,13 +112,16 @@ def _parts(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> Iterator[t
             weight = weights[(part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
             key = (weight << np.uint64(58)) | (part >> np.uint64(6))
             m = len(part) - (num * len(part) + den - 1) // den + 1
-            rare = part[np.argpartition(key, m - 1)[:m]] if m < len(part) else part
-            yield r + c, part, (rare ^ A.mix(np.full(1, r + c, np.uint64))).view(np.int64)
+            least = np.argpartition(key, m - 1)[:m] if m < len(part) else np.arange(len(part))
+            yield r + c, part, (part[least] ^ A.mix(np.full(1, r + c, np.uint64))).view(np.int64), weight[least] >= HOT
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each document's set size and identity; for the first document of a set in this task also its parts."""
-    kind = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    """Each document's set size and identity; for the first document of a set in this task also its parts.
+
+    hot: how many of the keys, which come first, are of frequent shingles.
+    """
+    kind = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("bits", pa.binary()), ("hot", pa.int32()), ("keys", pa.list_(pa.int64()))]))
     seen: set[int] = set()
     for batch in batches:
         sets = [s for _, s in _shingled(batch, k)]
@@ -122,12 +133,13 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, weights
             if len(seen) < 1_000_000:
                 seen.add(i)
             found = list(_parts(s, weights, num, den))
-            bits = signatures([p for _, p, _ in found])
-            parts.append([{"part": c, "n": len(p), "bits": b.tobytes(), "keys": keys} for (c, p, keys), b in zip(found, bits)])
+            bits = signatures([p for _, p, _, _ in found])
+            parts.append([{"part": c, "n": len(p), "bits": b.tobytes(), "hot": int(hot.sum()), "keys": keys[np.argsort(~hot, kind="stable")]} for (c, p, keys, hot), b in zip(found, bits)])
         sizes = [len(s) for s in sets]
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
+                "mark": batch.column("mark"),
                 "n_shingles": pa.array(sizes, pa.int64()),
                 "sid": pa.array([i if n else None for i, n in zip(ids.tolist(), sizes)], pa.int64()),
                 "parts": pa.array(parts, kind),
@@ -306,27 +318,61 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"sid": batch.column("sid"), "bits": pa.array(bits.view(np.int64).tolist(), pa.list_(pa.int64())), "ones": pa.array(np.bitwise_count(bits).sum(axis=1).astype(np.int64))})
 
 
+def _leaves(sets: DataFrame, leaf: int) -> DataFrame:
+    """(grp, leaf, sid, n, comp): leaves of sets (grp, sid, n, comp, sub) in the order of (sub, n).
+
+    A leaf has at most ``leaf`` sets and about ``LEAF_SHINGLES`` shingles.  Places are sums within (grp, sub, n, shard) plus
+    those of the cells before, so no task orders a whole group.
+    """
+    s = sets.withColumn("cost", F.greatest(F.lit(1), F.floor(F.col("n") * leaf / LEAF_SHINGLES)).cast("long")).withColumn("shard", F.shiftrightunsigned(F.xxhash64("sid"), 64 - SHARDS.bit_length() + 1))
+    cell = ["grp", "sub", "n", "shard"]
+    cells = s.groupBy(*cell).agg(F.sum("cost").alias("all"))
+    up = Window.partitionBy("grp").orderBy("sub", "n", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*cell, F.coalesce(F.sum("all").over(up), F.lit(0)).alias("first"))
+    own = Window.partitionBy(*cell).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("own", F.coalesce(F.sum("cost").over(own), F.lit(0))).join(cells, cell)
+    return s.select("grp", F.floor((F.col("first") + F.col("own")) / leaf).cast("int").alias("leaf"), "sid", "n", "comp")
+
+
 def _leaf_pairs(leaves: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(grp, i, j) for leaves i < j of one group that may hold links: upper levels of the dual traversal."""
-    members = leaves.join(sets, "sid").select("sid", "tokens", "grp", "leaf", "n")
-    nodes = leaves.join(members.mapInArrow(_nodes, "sid long, bits array<long>, ones long").dropDuplicates(["sid"]), "sid")
+    """(grp, i, j) for leaves i <= j of one group that may hold links between components: upper levels of the dual traversal."""
+    bits = leaves.select("sid").distinct().join(sets, "sid").select("sid", "tokens").mapInArrow(_nodes, "sid long, bits array<long>, ones long")
+    words = [f"w{w}" for w in range(SIGNATURE_WORDS)]
     ored = [F.bit_or(F.col("bits")[w]).alias(f"w{w}") for w in range(SIGNATURE_WORDS)]
-    nodes = written(nodes.groupBy("grp", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ones").alias("least"), *ored), "leaves")
-    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(den / num)))
-    a = nodes.select("grp", *[F.col(c).alias(f"a_{c}") for c in nodes.columns[1:]], F.explode(F.sequence(band("lo") - 2, band("hi") + 2)).alias("band"))
-    b = nodes.select("grp", *[F.col(c).alias(f"b_{c}") for c in nodes.columns[1:]], F.explode(F.sequence(band("lo"), band("hi"))).alias("band"))
-    common = sum((F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(SIGNATURE_WORDS)), F.lit(0))
+    size = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ones").alias("least"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")]
+    nodes = written(leaves.join(bits, "sid").groupBy("grp", "leaf").agg(*size, *ored), "leaves").withColumn("up", F.floor(F.col("leaf") / FAN).cast("int"))
+    size = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi")]
+    above = nodes.groupBy("grp", F.col("up").alias("leaf")).agg(*size, *[F.bit_or(w).alias(w) for w in words])
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("grp", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "grp"])
+
+    common = sum((F.bit_count(F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}"))) for w in words), F.lit(0))
     most = F.least(*[F.col(f"{s}_hi") - F.greatest(F.lit(0), F.col(f"{s}_least") - common) for s in "ab"])
-    pairs = a.join(b, ["grp", "band"]).where("a_leaf < b_leaf").where(F.expr(f"a_hi * {den} >= b_lo * {num} and b_hi * {den} >= a_lo * {num}"))
-    pairs = pairs.where(most * (num + den) >= num * (F.col("a_lo") + F.col("b_lo")))
-    return pairs.select("grp", F.col("a_leaf").alias("i"), F.col("b_leaf").alias("j")).distinct()
+    near = F.expr(f"a_hi * {den} >= b_lo * {num} and b_hi * {den} >= a_lo * {num}") & (most * (num + den) >= num * (F.col("a_lo") + F.col("b_lo")))
+    may = F.expr("a_leaf <= b_leaf and not (a_c_lo = a_c_hi and b_c_lo = b_c_hi and a_c_lo = b_c_lo)") & near
+    pairs = side(above, "a").join(side(above, "b"), "grp").where(may).select("grp", F.col("a_leaf").alias("a_up"), F.col("b_leaf").alias("b_up"))
+    pairs = pairs.join(side(nodes, "a"), ["grp", "a_up"]).join(side(nodes, "b"), ["grp", "b_up"]).where(may)
+    return pairs.select("grp", F.col("a_leaf").alias("i"), F.col("b_leaf").alias("j"))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module."""
+def _verified(leaves: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (x, y) within and between the leaves of each pair (grp, i, j), i <= j."""
+    within = pairs.where("i = j").join(leaves.withColumnRenamed("leaf", "i"), ["grp", "i"]).select("grp", "i", "j", F.lit(0).alias("side"), "sid")
+    tasks = within
+    for side, end in enumerate("ij"):
+        tasks = tasks.union(pairs.where("i < j").join(leaves.withColumnRenamed("leaf", end), ["grp", end]).select("grp", "i", "j", F.lit(side).alias("side"), "sid"))
+    tasks = tasks.join(sets, "sid").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "sid").select("grp", "i", "j", "side", "sid", "tokens")
+    return written(tasks.mapInArrow(lambda b: _verify(b, num, den), "x long, y long"), "links")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, sid) of every row of ``docs`` (doc_id, mark, text), and (sid, least) of sets with company.
+
+    least: (doc_id, mark) of the component's first row.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
     text = docs.select("text")
 
     sketch = text.mapInArrow(lambda b: _sketch(b, k), "slot long, cnt long").groupBy("slot").agg(F.sum("cnt").alias("cnt"))
@@ -334,58 +380,79 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, le
     for r in sketch.toLocalIterator():  # at most 2 ** SKETCH_BITS rows at any size
         weights[r.slot] = min(63, int(r.cnt).bit_length())
     shared = spark.sparkContext.broadcast(weights)
-    found = written(docs.mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, n_shingles long, sid long, parts array<struct<part:int,n:int,bits:binary,keys:array<long>>>"), "sets")
+    found = written(docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, mark long, n_shingles long, sid long, parts array<struct<part:int,n:int,bits:binary,hot:int,keys:array<long>>>"), "sets")
+    shared.destroy()
 
     parts = found.where("parts is not null").select("sid", "n_shingles", F.explode("parts").alias("p")).select("sid", "n_shingles", "p.*")
-    keys = parts.select("sid", "part", F.explode("keys").alias("key")).repartition("key")
-    pairs = keys.dropDuplicates(["key", "sid"])
+    keys = parts.select("sid", "part", "hot", F.posexplode("keys").alias("at", "key"))
+    # a frequent shingle's rows are dealt by set too; it only has to be frequent in the sketch for that
+    salt = F.when(F.col("at") < F.col("hot"), F.pmod(F.col("sid"), F.lit(SALTS)) + 1).otherwise(0)
+    pairs = keys.select("sid", "part", "key", salt.cast("int").alias("salt")).repartition("key", "salt").dropDuplicates(["key", "salt", "sid"])
     mark = F.xxhash64("sid", "part")
-    buckets = pairs.groupBy("key").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"))
-    buckets = buckets.where("cnt >= 2").groupBy("cnt", "h1", "h2").agg(F.min("key").alias("key"))
-    members = written(pairs.join(buckets.select("key").hint("shuffle_hash"), "key").select("key", "sid", "part"), "members")
+    buckets = pairs.groupBy("key").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"), F.max("salt").alias("salt"), F.min("sid").alias("least"))
+    buckets = buckets.where("cnt >= 2").groupBy("cnt", "h1", "h2").agg(F.min(F.struct("key", "salt", "least")).alias("b")).select("cnt", "b.*")
     # a bucket too large for one task is a group as it stands: its members with the least of them
-    large = members.groupBy("key").agg(F.min("sid").alias("y"), F.count("*").alias("cnt")).where(F.col("cnt") > BUCKET)
-    stars = members.join(large, "key").select(F.col("sid").alias("x"), "y")
+    star = F.when(F.col("cnt") > BUCKET, F.col("least")).alias("star")
+    spread = F.explode(F.when(F.col("salt") > 0, F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))).alias("salt")
+    buckets = buckets.select("key", star, spread)
+    members = written(pairs.join(buckets.hint("shuffle_hash"), ["key", "salt"]).select("key", "sid", "part", "star"), "members")
+    stars = members.where("star is not null").select(F.col("sid").alias("x"), F.col("star").alias("y"))
     once = parts.groupBy("sid", "part").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    small = members.join(large.select("key"), "key", "left_anti").join(once, ["sid", "part"])
+    small = members.where("star is null").join(once, ["sid", "part"])
     small = small.repartition("key").sortWithinPartitions("key", "sid").select("key", "sid", "n", "bits")
     groups = connected_components(small.mapInArrow(lambda b: _plausible(b, num, den), "x long, y long").union(stars), "x", "y")
     sizes = parts.groupBy("sid").agg(F.max("n_shingles").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("n", "sid")) - 1
-    leaves = written(groups.withColumnRenamed("node", "sid").join(sizes, "sid").select(F.col("label").alias("grp"), F.floor(rank / leaf).cast("int").alias("leaf"), "sid", "n"), "groups")
+    groups = groups.withColumnRenamed("node", "sid").join(sizes, "sid").select(F.col("label").alias("grp"), "sid", "n", F.col("sid").alias("comp"), F.lit(0).cast("long").alias("sub"))
+    leaves = written(_leaves(groups, leaf), "groups")
+    remove(spark, members)
 
-    bits = hash_filter(leaves, "sid", FILTER_BITS)
-    filter_ = spark.sparkContext.broadcast(bits)
+    filter_ = spark.sparkContext.broadcast(hash_filter(leaves, "sid", FILTER_BITS))
     sets = text.mapInArrow(lambda b: _candidate_sets(b, k, filter_.value), "sid long, tokens binary")
     sets = written(sets.join(leaves.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.max("tokens").alias("tokens")), "tokens")
+    filter_.destroy()
 
-    many = leaves.join(leaves.where("leaf > 0").select("grp").distinct(), "grp", "left_semi")
-    within = leaves.select("grp", F.col("leaf").alias("i"), F.col("leaf").alias("j"), F.lit(0).alias("side"), "sid")
-    across = _leaf_pairs(many, sets, num, den)
-    across = [
-        across.join(many.withColumnRenamed("leaf", end), ["grp", end]).select("grp", "i", "j", F.lit(side).alias("side"), "sid")
-        for side, end in enumerate("ij")
-    ]
-    tasks = within.union(across[0]).union(across[1]).join(sets, "sid")
-    tasks = tasks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "sid").select("grp", "i", "j", "side", "sid", "tokens")
-    links = written(tasks.mapInArrow(lambda b: _verify(b, num, den), "x long, y long"), "links")
+    each = leaves.select("grp", F.col("leaf").alias("i")).distinct()
+    pairs = each.withColumn("j", F.col("i")).union(leaves.where("leaf > 0").select("grp", (F.col("leaf") - 1).alias("i"), F.col("leaf").alias("j")).distinct().join(each, ["grp", "i"], "left_semi").select("grp", "i", "j"))
+    links = _verified(leaves, pairs, sets, num, den)
     labels = connected_components(links, "x", "y").withColumnRenamed("node", "sid")
+    large = leaves.where("leaf > 0").select("grp").distinct()
+    if large.limit(1).count():
+        again = leaves.join(large, "grp", "left_semi").select("grp", "sid", "n").join(labels, "sid", "left").withColumn("comp", F.coalesce("label", "sid"))
+        weight = again.groupBy("comp").agg(F.count("*").alias("_w"))
+        again = again.join(weight, "comp").withColumn("sub", F.when(F.col("_w") >= leaf, F.col("comp")).otherwise(F.lit(0)))
+        again = written(_leaves(again, leaf), "groups")
+        more = _verified(again, _leaf_pairs(again, sets, num, den), sets, num, den)
+        labels = connected_components(links.union(more), "x", "y").withColumnRenamed("node", "sid")
+        remove(spark, again, more)
+    remove(spark, leaves, sets, links)
+
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
+    least = found.where("sid is not null").groupBy("sid").agg(least, F.count("*").alias("copies"))
+    classes = labels.join(least, "sid", "full").select("sid", "label", "least", "copies")
+    of_label = classes.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
+    classes = classes.where("label is not null or copies > 1").join(of_label, "label", "left").select("sid", F.coalesce("component", "least").alias("least"))
+    return found.select("doc_id", "mark", "n_shingles", "sid"), classes
 
-    least = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = labels.join(least, "sid", "full").select("sid", F.coalesce("label", "sid").alias("label"), "least", "copies", F.col("label").isNotNull().alias("is_linked"))
-    of_label = classes.where("is_linked").groupBy("label").agg(F.min("least").alias("component"))
-    classes = classes.where("is_linked or copies > 1").join(of_label, "label", "left").select("sid", F.coalesce("component", "least").alias("component"))
-    out = found.select("doc_id", "n_shingles", "sid").join(classes, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module."""
+    found, classes = _components(docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("mark"), F.col("text").cast("string")), k, num, den, leaf)
+    return found.join(classes, "sid", "left").select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; of repeated rows one."""
-    found = ngram_components(docs, k, num, den)
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    # partitioned by doc_id already
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return out.withColumn("_again", F.row_number().over(again)).where("_again = 1 or doc_id is null").drop("_again").select(docs.columns)
+    """The rows of ``docs`` that are the first of their component, by doc_id, then by a hash of the text; of rows with one doc_id and text one.
+
+    Rows with null doc_id stay, as do rows without words (repeated ones once).
+    """
+    mark = F.xxhash64("text")
+    found, classes = _components(docs.select(F.col("doc_id").cast("long"), mark.alias("mark"), F.col("text").cast("string")), k, num, den, LEAF)
+    later = found.where("doc_id is not null").join(classes, "sid").where("doc_id <> least.doc_id or mark <> least.mark")
+    out = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
+    out = out.join(later.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_anti")
+    # partitioned by both already
+    again = Window.partitionBy("doc_id", "mark").orderBy(F.lit(0))
+    return out.withColumn("again", F.row_number().over(again)).where("again = 1 or doc_id is null").select("row.*")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

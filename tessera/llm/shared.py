@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +18,12 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers find it wherever they start."""
+    # rows of text and of shingle sets can be long: small batches bound the memory of a task; no result depends on it
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
-    # rows of text and of shingle sets can be long: small batches bound the memory of a task
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = tempfile.mkdtemp(prefix="tessera-ship-")
     archive = os.path.join(folder, "tessera_code.zip")
@@ -35,11 +37,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local tests), an own one, set as the checkpoint folder too."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (local tests), an own one.
+
+    On a cluster an unset folder is an error: executors would write to disks that nobody else reads.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(root)
@@ -53,20 +60,52 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def _place(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def discarded_at_end(spark: SparkSession, path: str) -> None:
+    """What is at ``path`` goes when the driver ends, if it has not gone before."""
+    files, path = _place(spark, path)
+    files.deleteOnExit(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, kept when executors are lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, kept when executors are lost, gone when the driver ends."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.append(path)
+    discarded_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(hadoop).delete(path, True)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            files, path = _place(spark, folder)
+            files.delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``written`` makes inside go at the end, but for those that are passed to what this gives."""
+    start, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles())
+        return df
+
+    yield keep
+    for path in _made[start:]:
+        if path.rpartition("/")[2] not in kept:
+            files, at = _place(spark, path)
+            files.delete(at, True)
+    _made[start:] = [p for p in _made[start:] if p.rpartition("/")[2] in kept]
 
 
 def hash_sample(df: DataFrame, id_: str, n: int, *ties: str) -> DataFrame:
