@@ -2,21 +2,21 @@
 
 A page is cut into text nodes.  For each root-to-leaf path of block tags the
 length of its text, its punctuation and its link text are aggregated; length and
-punctuation per node are smoothed along the page, fused to one score per node,
-and the paths above a threshold of the page mark its content.  The content node
-is the article or main element with the largest score or, without one, the lowest
-node above the marked paths; its visible blocks in page order are the text, less those
-of paths under the threshold that are mostly links.
-
-Scripts, styles, forms, menus, headers and footers of the page, sidebars, notices,
-adverts and reader comments are told by tag, role or a word of class or id, and
-take no part.  Words that also name a layout (``LAYOUT``) hide an element only if its
-blocks have at most half of the page's score.
-
-Edge cases: null or empty html gives an empty text; unclosed and stray tags,
-pages that end anywhere and unquoted attributes are read as far as they go; very
-long pages are read whole in time linear in their length; repeated rows each get
-their row; other columns are ignored.
+punctuation per node are smoothed along the page and fused to one score per node, which
+what tags and class words say of the elements around it damps or raises
+(``UNWANTED``, ``DOUBTFUL``, ``IN_CONTENT``).  Nodes under the threshold of the page
+that are damped or mostly links count against every element that holds them, all others by their
+score; nodes are damped if less is said for them than for the best one; the element with the largest sum, the lowest of equals, is the content.
+Its blocks but for those that count against it are the text, in page order.
+
+Scripts, styles, forms, menus, headers and footers of the page and sidebars told by tag or role, and
+elements that are not shown, take no part.
+
+Edge cases: null or empty html gives an empty text, as does a page whose article has
+none; unclosed and stray tags, pages that end anywhere and unquoted attributes are read as
+far as they go; of elements with equal sums the lowest, then the last is taken; very
+long or deep pages are read whole in time and memory linear in their length; repeated rows each get
+their row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .shared import ship
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>|[^>]*(?:>|\Z))"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
@@ -49,7 +49,9 @@ WORDS = frozenset(
     " sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar topbar comment comments disqus reply replies respond discussion"
     " share sharing social related recommended recommendations newsletter subscribe subscription signup login signin widget widgets copyright pager pagination paywall hidden".split()
 )
-LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation header footer masthead toolbar topbar banner overlay modal notice notices social related widget widgets share sharing".split())
+# words that name a layout or a kind of text as well
+LAYOUT = frozenset("discussion respond recommended sidebar sidebars menu menus nav navbar navigation header footer masthead toolbar topbar banner overlay modal notice notices social related widget widgets share sharing".split())
+UNWANTED, DOUBTFUL, IN_CONTENT = 0.02, 0.6, 5.0
 IN_ARTICLE = {"header"}  # words and tags that only count outside an article
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -63,43 +65,40 @@ def _words(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool | None:
-    """None: by words of ``LAYOUT`` only."""
-    layout = False
+def _prior(tag: str, attributes: str, in_article: bool) -> float:
+    """What the element's own tag, role and class words say of its text: 0 is hidden, 1 tells nothing."""
     if tag in DROP or (tag == "header" and not in_article):
-        return True
+        return 0.0
+    out = IN_CONTENT if tag in ("article", "main") and not in_article else 1.0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return out
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") or name in ("class", "id") and tag == "article":
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
             found = _words(value) & WORDS
             if found and not (in_article and found <= IN_ARTICLE):
-                if not found <= LAYOUT:
-                    return True
-                layout = True
+                out *= DOUBTFUL if found <= LAYOUT else UNWANTED
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 0.0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return None if layout else False
+            return 0.0
+    return out
 
 
 class _Node:
-    """An open block element: its path, whether it is boilerplate, the article it belongs to, its parent, the elements around it that layout words would hide."""
+    """A block element: its root-to-leaf path as a number, what is said of its text so far, whether an article or main is open, its parent."""
 
-    __slots__ = ("tag", "path", "hidden", "article", "up", "depth", "layout")
+    __slots__ = ("tag", "path", "prior", "article", "up", "at")
 
-    def __init__(self, tag, path, hidden, article, up):
-        self.tag, self.path, self.hidden, self.article, self.up = tag, path, hidden, article, up
-        self.layout = up.layout if up else ()
-        self.depth = up.depth + 1 if up else 0
+    def __init__(self, tag, path, prior, article, up, at):
+        self.tag, self.path, self.prior, self.article, self.up, self.at = tag, path, prior, article, up, at
 
 
-def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(node, text, characters of links in it) of each block that is not boilerplate, in page order."""
+def visible_blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All block elements, parents first, and (node, text, characters of links in it) of each block that is not hidden, in page order."""
     out: list[tuple[_Node, str, int]] = []
-    node = root = _Node("", "", False, None, None)
+    node = root = _Node("", 0, 1.0, False, None, 0)
+    nodes, paths, open_ = [root], {}, {}  # open_: how many elements of each tag are open
     pieces: list[str] = []
     links = in_link = at = 0
     ends: dict[str, re.Match | None] = {}  # the next end of each embedded element
@@ -108,14 +107,20 @@ def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
         nonlocal pieces, links
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text and not node.hidden:
+            if text and node.prior:
                 out.append((node, text, links))
         pieces, links = [], 0
 
+    def close(upto: _Node) -> None:
+        nonlocal node
+        while node is not upto:
+            open_[node.tag] -= 1
+            node = node.up
+
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not node.hidden:
+        if text and node.prior:
             text = _html.unescape(text) if "&" in text else text
             pieces.append(text)
             links += len(text) * (in_link > 0)
@@ -148,48 +153,40 @@ def visible_blocks(page: str) -> list[tuple[_Node, str, int]]:
         if tag == "hr":
             continue
         if m[1]:
-            up = node
-            while up.up and up.tag != tag:
-                up = up.up
-            if up.up:
-                node, in_link = up.up, 0
+            if open_.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.up
+                close(up.up)
+                in_link = 0
             continue
         inner, outer = CLOSES.get(tag, (set(), set()))
         up = node
         while up.up and up.tag not in outer and (up.tag in inner or up.tag == "p" and up is node):
             up = up.up
-        if up is node and inner:  # an item may be open below other blocks
+        if up is node and any(open_.get(x) for x in inner):  # an item may be open below other blocks
             x = node
             while x.up and x.tag not in outer and x.tag not in inner:
                 x = x.up
             if x.up and x.tag in inner:
                 up = x.up
-        node = up
-        boilerplate = _is_boilerplate(tag, m[3], node.article is not None)
-        hidden = node.hidden or bool(boilerplate)
-        node = _Node(tag, f"{node.path}/{tag}", hidden, node.article, node)
-        if boilerplate is None and not hidden:
-            node.layout = (*node.layout[-31:], node)
-        if tag in ("article", "main") and not hidden and (node.article is None or node.article.tag == "main" and tag == "article"):
-            node.article = node
+        close(up)
+        prior = node.prior and node.prior * _prior(tag, m[3], node.article)
+        path = paths.setdefault((node.path, tag), len(paths) + 1)
+        node = _Node(tag, path, prior, node.article or bool(prior) and tag in ("article", "main"), node, len(nodes))
+        nodes.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
-    return _without_layout(out) if any(n.layout for n, _, _ in out) else out
-
-
-def _without_layout(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    """The blocks that are in no element of layout words with at most half of the page's score."""
-    scores, _ = path_scores(blocks)
-    within: dict[int, float] = {}
-    for (node, _, _), score in zip(blocks, scores):
-        for x in node.layout:
-            within[id(x)] = within.get(id(x), 0.0) + score
-    most = 0.5 * sum(scores)
-    return [b for b in blocks if all(within[id(x)] > most for x in b[0].layout)]
+    return nodes, out
 
 
 def path_scores(blocks: list[tuple[_Node, str, int]]) -> tuple[list[float], float]:
-    """The fused score of each block and the threshold of the page."""
-    paths: dict[str, list[float]] = {}
+    """The fused score of each block and the threshold of the page.
+
+    Length and punctuation are means of the block's path, smoothed along the page; their product is taken less the path's
+    share of links and weighed by what tags and class words around the block say.
+    """
+    paths: dict[int, list[float]] = {}
     for node, text, links in blocks:
         s = paths.setdefault(node.path, [0, 0, 0, 0])
         s[0] += len(text)
@@ -199,47 +196,43 @@ def path_scores(blocks: list[tuple[_Node, str, int]]) -> tuple[list[float], floa
     length = [paths[n.path][0] / paths[n.path][3] for n, _, _ in blocks]
     marks = [paths[n.path][1] / paths[n.path][3] for n, _, _ in blocks]
     linked = [paths[n.path][2] / max(paths[n.path][0], 1) for n, _, _ in blocks]
+    prior = [n.prior for n, _, _ in blocks]
 
     def smooth(v: list[float]) -> list[float]:
-        return [0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)] for i in range(len(v))]
+        """Along the page, among blocks of the same prior."""
+        near = lambda i, j: v[j] if 0 <= j < len(v) and prior[j] == prior[i] else v[i]
+        return [0.25 * near(i, i - 1) + 0.5 * v[i] + 0.25 * near(i, i + 1) for i in range(len(v))]
 
-    fused = [a * (1 + b) * (1 - c) for a, b, c in zip(smooth(length), smooth(marks), linked)]
-    return fused, 0.5 * sum(fused) / max(len(fused), 1)
+    fused = [a * (1 + b) * (1 - c) * p for a, b, c, p in zip(smooth(length), smooth(marks), linked, prior)]
+    # half of the mean score of a character's block: many small blocks don't lower it
+    return fused, 0.5 * sum(x * x for x in fused) / (sum(fused) or 1)
 
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, one a line."""
-    blocks = visible_blocks(page or "")
+    nodes, blocks = visible_blocks(page or "")
     if not blocks:
         return ""
     scores, least = path_scores(blocks)
-    articles: dict[int, list] = {}
-    for i, (node, _, _) in enumerate(blocks):
-        if node.article is not None:
-            articles.setdefault(id(node.article), [0.0, []])
-            articles[id(node.article)][0] += scores[i]
-            articles[id(node.article)][1].append(i)
-    if articles:
-        most = max(v[0] for v in articles.values())
-        keep = sorted(i for v in articles.values() if v[0] >= 0.2 * most for i in v[1] if scores[i] >= least or 2 * blocks[i][2] <= len(blocks[i][1]))
-    else:
-        marked = [blocks[i][0] for i in range(len(blocks)) if scores[i] >= least] or [b[0] for b in blocks]
-        top = marked[0].up or marked[0]
-        for n in marked[1:]:
-            other = n.up or n
-            while top is not other:
-                if top.depth >= other.depth:
-                    top = top.up
-                else:
-                    other = other.up
-
-        def under(n: _Node) -> bool:
-            while n is not None and n is not top:
-                n = n.up
-            return n is top
-
-        keep = [i for i, (n, text, links) in enumerate(blocks) if under(n) and 2 * links <= len(text)]
-    return "\n".join(blocks[i][1] for i in keep)
+    # what counts against a node that holds it: less than the threshold, and mostly links or less told for it than for the best block
+    best = blocks[max(range(len(scores)), key=scores.__getitem__)][0].prior
+    bad = [s < least and (n.prior < best or 2 * links > len(text)) for s, (n, text, links) in zip(scores, blocks)]
+    if any(n.article for n in nodes) and not any(n.article for n, _, _ in blocks):
+        return ""  # an article without text
+    gain = [0.0] * len(nodes)
+    for (n, _, _), s, b in zip(blocks, scores, bad):
+        gain[n.at] += s - least if b else s
+    leaf = [False] * len(nodes)
+    for n, _, _ in blocks:
+        leaf[n.at] = n.up is not None and n.tag not in ("article", "main")
+    for n in reversed(nodes[1:]):
+        gain[n.up.at] += gain[n.at]
+        leaf[n.up.at] = False
+    top = max((n for n in nodes if not leaf[n.at]), key=lambda n: (gain[n.at], n.at), default=nodes[0])
+    inside = [False] * len(nodes)
+    for n in nodes:
+        inside[n.at] = n is top or n.up is not None and inside[n.up.at]
+    return "\n".join(text for (n, text, _), b in zip(blocks, bad) if inside[n.at] and not b)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

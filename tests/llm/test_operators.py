@@ -365,6 +365,43 @@ def test_html_scores_decide(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content has-sidebar'><article>{PROSE}</article></div>", SAID), (f"<article>{PROSE}<div class=discussion>{PROSE}</div></article>", f"{SAID}\n{SAID}"),
+        (f"<article>{PROSE}<section class='related-work'>{PROSE}</section></article>", f"{SAID}\n{SAID}"), (f"<body><div>{PROSE}<p>See <a href=x>this page of many words</a>.</p>{PROSE}</div></body>", f"{SAID}\nSee this page of many words.\n{SAID}"),
+        (f"<article><p title=don't>first, one.</p>{PROSE}</article>", f"first, one.\n{SAID}"), (f"<div class=box>Buy</div><div class=text>{PROSE}</div><div class=links><a href=a>Home</a> <a href=b>More of it</a></div>", SAID),
+        (f"<article>{PROSE}<div class=comments>{PROSE * 9}</div></article>", SAID), (f"<div class=ad>Buy, buy, and buy again.</div><article><h1>A</h1></article>", "A"), ("<div class=ad>Buy, buy.</div><article><p> </p></article>", ""),
+        (f"<main><article>{PROSE}</article><article>{PROSE}</article></main>", f"{SAID}\n{SAID}"), ("<div class=ad>Only this.</div>", "Only this."),
+    ],
+)
+def test_html_content_nodes(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_html_paths_choose_without_articles(spark, sf, monkeypatch):
+    """The pages with div for article, and with neutral classes around: blocks right and found; equal scores give other texts."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()
+    for change in (lambda h: h.replace("article>", "div>"), lambda h: h.replace("article>", "section>").replace('class="ad"', 'class="x"')):
+        hit = n_want = n_got = 0
+        for r in rows:
+            want, got = html_extract.main_text(r.html).split("\n"), html_extract.main_text(change(r.html)).split("\n")
+            hit, n_want, n_got = hit + len(set(want) & set(got)), n_want + len(set(want)), n_got + len(set(got))
+        assert hit >= 0.95 * n_want and hit >= 0.85 * n_got
+    right = [html_extract.main_text(r.html) for r in rows]
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: ([1.0] * len(blocks), 0.5))
+    assert sum(html_extract.main_text(r.html) != w for r, w in zip(rows, right)) > 0.9 * len(rows)
+
+
+def test_html_time_and_depth():
+    import time
+
+    for page in ("<div>" * 20_000 + "</p>" * 20_000 + "deep", "<li>" * 20_000 + "x", "<ul><li><div>" * 8_000 + "x", "<p a='" * 5_000):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 5
+
+
 @pytest.mark.parametrize("tag", ["<svg/>", "<svg class=x />", "<math/>", "<video src=x>", "<object data=x>", "<svg><text>no</text></svg>", "<select><option>no</select>"])
 def test_html_elements_without_end(tag):
     assert html_extract.main_text(f"<article><div>{PROSE}{tag}</div>{PROSE}</article>") == f"{SAID}\n{SAID}"
