@@ -430,6 +430,24 @@ def test_url_cases(spark):
     assert url_vocab.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_vocabulary(spark):
+    """Terms of a table against brute force: boundaries, escapes, weights, repeated and empty terms."""
+    table = [("casino", "strict", 1.0), ("CASINO", "soft", 9.0), ("win", "soft", 0.5), ("big win", "soft", 1.0), ("x", "soft", 3.0), ("", "strict", 1.0), (None, "soft", 1.0), ("über", "soft", None)]
+    urls = ["http://a/casino", "http://a/%63asino%2Fwin", "http://a/%20casino", "http://a/casinos", "http://a/win?x", "http://a/big%20win", "http://a/x/x/x", "http://a/win-win-big win", "http://a/über/x", "http://a/%zz%C3casino", "", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    words = {"casino": ("strict", 1.0), "win": ("soft", 0.5), "big win": ("soft", 1.0), "x": ("soft", 3.0), "über": ("soft", 0.0)}
+    for vocabulary in (spark.createDataFrame(table, "term string, kind string, weight double"), table):
+        for r in url_vocab.judge_urls(pages, [], vocabulary).collect():
+            text = re.sub("%([0-7][0-9A-Fa-f])", lambda m: chr(int(m[1], 16)), urls[r.page_id] or "").lower()
+            hit = {w: len(re.findall(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", text)) for w in words}
+            strict = sum(hit[w] for w in words if words[w][0] == "strict")
+            soft = [w for w in words if words[w][0] == "soft" and hit[w]]
+            weight = sum(words[w][1] for w in soft)
+            assert (r.n_strict, r.n_soft, r.soft_weight) == (strict, len(soft), weight), text
+            assert r.verdict == ("block" if strict or len(soft) >= 2 and weight >= 2 else "allow")
+    assert {r.verdict for r in url_vocab.judge_urls(pages, [], []).collect()} == {"allow"}
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -451,6 +469,22 @@ def test_linked_parts(spark):
     texts = ["user: alice password = hunter2hunter2", "user: alice and nothing else", "https://db.example.org/x " + "z" * 400 + " password = hunter2hunter2", "AKIA" + "A" * 16 + " goes with Ab1" + "Cd2" * 12, "Ab1" + "Cd2" * 12]
     got = {r.doc_id: [x.kind for x in r.found] for r in secrets.find_secrets(docs_of(spark, texts)).collect()}
     assert got == {0: ["user", "assign"], 1: [], 2: ["assign"], 3: ["access", "mixed"], 4: []}
+    links = {r.doc_id: [(x.span.kind, x.part.kind) for x in r.links] for r in secrets.find_secrets(docs_of(spark, texts)).collect()}
+    assert links == {0: [("user", "assign")], 1: [], 2: [], 3: [("mixed", "access")], 4: []}
+
+
+def test_secrets_of_one_text_with_many(spark):
+    """Places in a text of many matches, beyond one chunk; time grows about with their number."""
+    import time
+
+    took = []
+    for n in (1_000, 4_000):
+        text = "\n".join(f"é line {i} user: name{i} password = hunter{i:06d}" for i in range(n))
+        began = time.time()
+        r = secrets.find_secrets(docs_of(spark, [text])).collect()[0]
+        took.append(time.time() - began)
+        assert [tuple(x) for x in r.base] == base_spans(text) and r.n_assign == n and len(r.links) >= n
+    assert took[1] < 10 * took[0] + 5
 
 
 def test_secret_digest(spark, sf):
