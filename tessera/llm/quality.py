@@ -12,7 +12,9 @@ of doc_id), a documented bound; statistics and verdicts cover all rows.
 Edge cases: null texts count as empty and fail the base rules; labels that are
 null or whose document is missing are ignored; several labels of a document each
 count; with no labels or one class the list is empty and keeps what the base
-rules keep; repeated rows each get their row; other columns are ignored.
+rules keep; of equal gains the first feature and the lowest threshold are taken; very long texts
+are read whole, a task holds one beside a MB of others; repeated rows each get their row; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

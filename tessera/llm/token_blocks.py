@@ -8,10 +8,12 @@ percentile whose block comes out smallest.  The block index has each block's byt
 position, so any block can be read alone.  The document index (doc_ids as differences,
 numbers of ids) and the block index are blocks of the same kind.
 
-Documents are dealt to files by ranges of doc_id, so files in order hold all
-documents in ascending doc_id order.  A task writes its file under an own name and
-renames it, so a task that runs twice leaves one whole file.  Files go through
-``pyarrow.fs``, to any file system that the shared folder's address names.
+Documents are dealt to tasks by ranges of doc_id, their number by the bytes of text, and
+a task begins a new file after ``FILE_IDS`` ids, so files in order hold all
+documents in ascending doc_id order and none is much longer than that plus one document.  A task writes a file under an own name and
+renames it, so a task that runs twice leaves whole files.  Files go through
+``pyarrow.fs``, to any file system that the shared folder's address names; readers read the
+indexes, then a run of blocks at a time.
 
 Ids come from a public tokenizer.  Its tokens never span white space, so each
 word between ``\\x20 \\x09-\\x0D`` is encoded once per worker and looked up by its
@@ -19,7 +21,7 @@ word between ``\\x20 \\x09-\\x0D`` is encoded once per worker and looked up by i
 
 Edge cases: null and empty texts hold the end id alone; rows with null doc_id come
 first and are written under id 0, repeated doc_ids next to each other in order of their text; very long texts span
-blocks; an empty table gives no file and an empty result; other columns are
+blocks, a task holds one at a time; bytes that are no UTF-8 are read as U+FFFD; an empty table gives no file and an empty result; other columns are
 ignored.
 """
 
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import arrays as A
-from .shared import shared_path, ship
+from .shared import discarded_at_end, shared_path, ship
 
 MAGIC, BLOCK, PERCENTILES = b"PFORBLK1", 4096, (75, 90, 95, 98, 100)
 CACHE_WORDS = 1_500_000
+FILE_IDS, TASK_BYTES, LEAST_BYTES = 1 << 26, 256 << 20, 4 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -162,30 +165,40 @@ class Writer:
         return int(sum(self.lengths))
 
 
-def read_file(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, lengths, ids) of a file's documents, a run of whole documents at a time."""
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
+def read_file(stream, run: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, lengths, ids) of a file's documents, a run of whole documents at a time; ``run`` blocks are read at once."""
+
+    def part(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return stream.read(n)
+
+    size = stream.seek(0, 2)
+    if size < 48 or part(0, 8) != MAGIC or part(size - 8, 8) != MAGIC:
         raise ValueError("not a token file")
-    index, n_docs, first, n_blocks = np.frombuffer(data, "<i8", 4, len(data) - 40).tolist()
-    steps, at = _read_sequence(data, index, n_docs)
+    index, n_docs, first, n_blocks = np.frombuffer(part(size - 40, 32), "<i8").tolist()
+    data = part(index, size - 40 - index)
+    steps, at = _read_sequence(data, 0, n_docs)
     lengths, at = _read_sequence(data, at, n_docs)
     starts, _ = _read_sequence(data, at, n_blocks)
     docs = first + np.cumsum(steps.view(np.int64))
     lengths, have, done = lengths.astype(np.int64), [], 0
     ends = np.cumsum(lengths)
     n_have = given = 0
-    for k, start in enumerate(np.cumsum(starts).tolist()):
-        part, _ = decode_block(data, start)
-        have.append(part.astype("<u4"))
-        n_have += len(part)
-        if n_have >= 64 * BLOCK or k == n_blocks - 1:
-            upto = int(np.searchsorted(ends, given + n_have, "right"))
-            if upto > done:
-                ids = np.concatenate(have)
-                n = int(ends[upto - 1]) - given
-                yield docs[done:upto], lengths[done:upto], ids[:n]
-                have, given, done = [ids[n:]], given + n, upto
-                n_have = len(have[0])
+    bounds = [*np.cumsum(starts.view(np.int64)).tolist(), index]
+    for k in range(0, n_blocks, run):
+        upto = min(k + run, n_blocks)
+        data, at = part(bounds[k], bounds[upto] - bounds[k]), 0
+        for _ in range(k, upto):
+            block, at = decode_block(data, at)
+            have.append(block.astype("<u4"))
+            n_have += len(block)
+        upto = int(np.searchsorted(ends, given + n_have, "right"))
+        if upto > done:
+            ids = np.concatenate(have)
+            n = int(ends[upto - 1]) - given
+            yield docs[done:upto], lengths[done:upto], ids[:n]
+            have, given, done = [ids[n:]], given + n, upto
+            n_have = len(have[0])
 
 
 # ---- ids of texts -----------------------------------------------------------------------------------------------
@@ -216,7 +229,7 @@ class WordEncoder:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            words = [raw[s:e].decode() for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
+            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             count = np.array([len(x) for x in found], np.int64)
             first = len(self.ids) + np.cumsum(count) - count
@@ -262,31 +275,42 @@ def _open_folder(folder: str):
     return system, path
 
 
-def _write_files(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, writer, low = word_encoder(path), None, None
-    system = stream = None
-    n_docs, part = 0, TaskContext.get().partitionId()
-    final = f"part-{part:05d}.pfor"
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
+    encoder, task = word_encoder(path), TaskContext.get().partitionId()
+    system = where = writer = None
+    made: list[tuple[str, int, int]] = []
+
+    def begin() -> tuple[Writer, str]:
+        own = f"{where}/.part-{uuid.uuid4().hex}"
+        return Writer(system.open_output_stream(own)), own
+
+    def finish() -> None:
+        n_ids, name = writer.close(), f"part-{task:05d}-{len(made):05d}.pfor"
+        writer.stream.close()
+        system.move(own, f"{where}/{name}")
+        made.append((name, len(writer.docs), n_ids))
+
+    n_ids = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        if writer is None:
+        if system is None:
             system, where = _open_folder(folder)
-            own = f"{where}/.{final}-{uuid.uuid4().hex}"
-            stream = system.open_output_stream(own)
-            writer = Writer(stream)
         ids = [0 if i is None else i for i in batch.column("doc_id").to_pylist()]
-        for row, data, offsets in A.text_slices(batch.column("text"), 4 << 20):
+        for row, data, offsets in A.text_slices(batch.column("text"), min(4 << 20, 4 * most)):
+            if writer is None:
+                (writer, own), n_ids = begin(), 0
             lengths, tokens = encoder.encode(data, offsets, end)
             writer.add(ids[row : row + len(lengths)], lengths, tokens)
-        n_docs += len(ids)
-        low = ids[0] if low is None else low
-    if writer is None:
-        return
-    n_ids = writer.close()
-    stream.close()
-    system.move(own, f"{where}/{final}")
-    yield pa.record_batch({"part": pa.array([part], pa.int32()), "file": pa.array([final]), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            n_ids += len(tokens)
+            if n_ids >= most:
+                finish()
+                writer = None
+    if writer is not None:
+        finish()
+    if made:
+        names, n_docs, n_ids = zip(*made)
+        yield pa.record_batch({"part": pa.array([task] * len(made), pa.int32()), "seq": pa.array(range(len(made)), pa.int32()), "file": pa.array(names), "n_docs": pa.array(n_docs, pa.int64()), "n_ids": pa.array(n_ids, pa.int64())})
 
 
 def _read_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -294,30 +318,31 @@ def _read_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
         for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
             system, where = _open_folder(folder)
             with system.open_input_file(f"{where}/{name}") as f:
-                data = f.read()
-            for docs, lengths, ids in read_file(data):
-                ends = np.cumsum(lengths)
-                raw, sums = ids.tobytes(), []
-                for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-                    sums.append(zlib.crc32(raw[4 * a : 4 * b]))
-                yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
-                start += int(ends[-1]) if len(ends) else 0
+                for docs, lengths, ids in read_file(f):
+                    ends = np.cumsum(lengths)
+                    raw, sums = memoryview(ids.tobytes()), []
+                    for a, b in zip((ends - lengths).tolist(), ends.tolist()):
+                        sums.append(zlib.crc32(raw[4 * a : 4 * b]))
+                    yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
+                    start += int(ends[-1]) if len(ends) else 0
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, files: int | None = None) -> DataFrame:
-    """Write all documents in doc_id order; (part, file, n_docs, n_ids, start) of each file, written when the result is read.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, tasks: int | None = None, most: int = FILE_IDS) -> DataFrame:
+    """Write all documents in doc_id order; (part, seq, file, n_docs, n_ids, start) of each file.
 
     The table of files is written beside them, so the files are made once.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(lambda b: _write_files(b, folder, tokenizer, end), "part int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/files.parquet")
+    if not tasks:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        tasks = max(1, size // TASK_BYTES, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES))
+    dealt = docs.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt.mapInArrow(lambda b: _write_files(b, folder, tokenizer, end, most), "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/files.parquet")
     made = spark.read.parquet(f"{folder}/files.parquet")
     # one row a file
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
     return made.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
@@ -332,6 +357,7 @@ def token_digest(docs: DataFrame, tokenizer: str | None = None, end: int = 1) ->
     """Write files of all documents' ids to the shared folder and read their digest back."""
     folder = shared_path(docs.sparkSession, "tokens")
     files = write_token_files(docs, folder, tokenizer or tokenizer_path(), end)
+    discarded_at_end(docs.sparkSession, folder)
     return read_token_files(files, folder)
 
 

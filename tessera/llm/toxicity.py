@@ -19,8 +19,9 @@ hash of doc_id among those that may be learned from.  Scores cover all rows.
 Edge cases: texts that are null, empty or without a term of the vocabulary get the
 calibrated base rate of examples without terms; labels that are null or without
 document are ignored; with no labels the score is 0.5, with one class its rate;
-ties in similarity go to the lower example number; repeated rows each get their row;
-other columns are ignored.
+ties in similarity go to the lower example number; very long texts are read whole, a task holds
+one beside a MB of others; repeated rows each get their row; an empty table gives an empty result;
+other columns are ignored.  No result depends on how rows fall into batches, tasks or files.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .shared import hash_sample, ship, written
 
-SAMPLE, LIMIT, SEEN, NEAREST, BLOCK, PREFIXES = 8_000, 15, 3, 8, 64, (4, 5, 6, 7, 8)
+SAMPLE, LIMIT, SEEN, NEAREST, BLOCK, PREFIXES = 8_000, 30, 3, 8, 64, (4, 5, 6, 7, 8)
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
