@@ -389,7 +389,9 @@ def _components(docs: DataFrame, k: int, num: int, den: int, leaf: int) -> tuple
     salt = F.when(F.col("at") < F.col("hot"), F.pmod(F.col("sid"), F.lit(SALTS)) + 1).otherwise(0)
     pairs = keys.select("sid", "part", "key", salt.cast("int").alias("salt")).repartition("key", "salt").dropDuplicates(["key", "salt", "sid"])
     mark = F.xxhash64("sid", "part")
-    buckets = pairs.groupBy("key").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"), F.max("salt").alias("salt"), F.min("sid").alias("least"))
+    # of shingles that are not salted the whole bucket lies in one task: those of one set go before the next exchange
+    buckets = pairs.groupBy("key", "salt").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"), F.min("sid").alias("least"))
+    buckets = buckets.where("cnt >= 2 or salt > 0").groupBy("key").agg(F.sum("cnt").alias("cnt"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.max("salt").alias("salt"), F.min("least").alias("least"))
     buckets = buckets.where("cnt >= 2").groupBy("cnt", "h1", "h2").agg(F.min(F.struct("key", "salt", "least")).alias("b")).select("cnt", "b.*")
     # a bucket too large for one task is a group as it stands: its members with the least of them
     star = F.when(F.col("cnt") > BUCKET, F.col("least")).alias("star")
