@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
+SPAN = 1000  # blocks that one task sums
 
 def positions(df: DataFrame, lead: str, *rest: str, name: str = "position") -> DataFrame:
     """Number rows from 1 in the order of (lead, rest): numbers within each lead value, plus the rows of the values before it.
@@ -71,15 +71,22 @@ def topk_coverage(families: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20)) ->
 def rarefaction(families: DataFrame, step: int = 10) -> DataFrame:
     """(s, expected): families expected in s records drawn without replacement, for s = step, 2 step, ... and all.
 
-    One row a family size, not a family: sizes are counted first.
+    One row a family size, not a family: of N records there are N / step values of s, and at most the root of 2 N sizes.
+    A cell costs the same at any size: the binomials are taken by logarithms of factorials.
     """
     sizes = families.groupBy("n").agg(F.count("*").alias("f"))
     total = families.agg(F.sum("n").alias("total"))
-    s = total.select("total", F.explode(F.array_distinct(F.concat(F.when(F.col("total") >= step, F.sequence(F.lit(step).cast("long"), "total", F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>")), F.array("total")))).alias("s"))
-    absent = F.when(F.col("total") - F.col("n") < F.col("s"), 0.0).otherwise(
-        F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(1.0), lambda a, i: a * (F.col("total") - F.col("s") - i) / (F.col("total") - i))
-    )
-    return sizes.crossJoin(F.broadcast(s)).groupBy("s").agg(F.round(F.sum(F.col("f") * (1 - absent)), 6).alias("expected"))
+    steps = F.array_distinct(F.concat(F.when(F.col("total") >= step, F.sequence(F.lit(step).cast("long"), "total", F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>")), F.array("total")))
+    s = total.select("total", F.explode(steps).alias("s"))
+    absent = F.when(F.col("total") - F.col("n") < F.col("s"), 0.0).otherwise(F.exp(_log_factorial(F.col("total") - F.col("n")) + _log_factorial(F.col("total") - F.col("s")) - _log_factorial(F.col("total") - F.col("n") - F.col("s")) - _log_factorial(F.col("total"))))
+    return s.join(sizes).groupBy("s").agg(F.round(F.sum(F.col("f") * (1 - absent)), 4).alias("expected"))
+
+
+def _log_factorial(k: Column) -> Column:
+    """log(k!): exact up to 20, beyond that by Stirling's series, whose error is below 1e-12 there."""
+    x = k.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046728 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+    return F.when(k <= 20, F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
 def first_seen(records: DataFrame) -> DataFrame:
@@ -90,7 +97,11 @@ def cumulative_curve(records: DataFrame, size: int = 10) -> DataFrame:
     """(position, families): distinct signatures so far at the end of each block."""
     new = first_seen(records).groupBy(block_of(F.col("first"), size).alias("block")).agg(F.count("*").alias("new"))
     ends = records.groupBy(block_of(F.col("position"), size).alias("block")).agg(F.max("position").alias("position"))
-    return ends.join(new, "block", "left").select("position", F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("block")).alias("families"))
+    blocks = ends.join(new, "block", "left").select("block", "position", F.coalesce("new", F.lit(0)).alias("new"), F.floor(F.col("block") / SPAN).alias("span"))
+    # sums within spans of blocks, and of the spans before: only one row a span meets in one task
+    before = F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = blocks.groupBy("span").agg(F.sum("new").alias("n")).select("span", F.coalesce(before, F.lit(0)).alias("before"))
+    return blocks.join(spans, "span").select("position", (F.sum("new").over(Window.partitionBy("span").orderBy("block")) + F.col("before")).alias("families"))
 
 
 def block_novelty(records: DataFrame, size: int = 10) -> DataFrame:
@@ -160,9 +171,54 @@ def crosswalk(records: DataFrame, coarse: str, others: dict[str, str]) -> DataFr
     return records.select(F.col(coarse).alias("coarse"), pairs).groupBy("coarse", "kind", "sig").agg(F.count("*").alias("n"))
 
 
-def expand_decision(records: DataFrame, prefix: int) -> DataFrame:
-    """Whether to gather more records: any of three limits is passed."""
-    s, t = summary(counts(records)), transfer(records, prefix)
-    return s.crossJoin(F.broadcast(t)).select(  # one row each
-        "singleton_mass", "rate", F.when((F.col("singleton_mass") > 0.05) | (F.col("rate") < 0.9) | (F.col("families") > 0.5 * F.col("records")), "EXPAND").otherwise("STOP").alias("decision")
-    )
+def tail_blocks(blocks: DataFrame, k: int) -> DataFrame:
+    """The last k blocks."""
+    return blocks.orderBy(F.desc("block")).limit(k)
+
+
+def examples(records: DataFrame, sig: str, id_: str, k: int = 3) -> DataFrame:
+    """(sig, examples): the first k ids of each family in order of position; at most k rows of a family leave a task."""
+    first = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(id_).alias("id")))), lambda x: x["id"])
+    near = records.select(F.col(sig).alias("sig"), "position", id_).withColumn("_part", F.floor(F.col("position") / 4096))
+    for by in (["sig", "_part"], ["sig"]):  # within parts first, so that a large family is no single task
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("position", id_))).where(F.col("_r") <= k)
+    return near.groupBy("sig").agg(first.alias("examples"))
+
+
+def top_families(records: DataFrame, sig: str, id_: str, k: int = 20, n_examples: int = 3) -> DataFrame:
+    """(rank, sig, n, examples) of the k largest families, the smaller signature first among equals."""
+    top = counts(records, sig).orderBy(F.desc("n"), "sig").limit(k)
+    top = ranked(top)
+    return top.join(examples(records.join(F.broadcast(top.select(F.col("sig").alias(sig))), sig, "left_semi"), sig, id_, n_examples), "sig")
+
+
+def prefix_summaries(records: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
+    """(prefix, records, families, singletons, doubletons, singleton_mass) of the first records, for each prefix."""
+    sizes = [F.count_if(F.col("position") <= p).alias(f"n{p}") for p in prefixes]
+    f = records.groupBy("sig").agg(*sizes).select(F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.col(f"n{p}").alias("n")) for p in prefixes])).alias("x")).select("x.*").where("n > 0")
+    once = F.count_if(F.col("n") == 1)
+    return f.groupBy("prefix").agg(F.sum("n").alias("records"), F.count("*").alias("families"), once.alias("singletons"), F.count_if(F.col("n") == 2).alias("doubletons"), F.round(once / F.sum("n"), 9).alias("singleton_mass"))
+
+
+def record_profile(records: DataFrame, status: str, uncertain: Column, other: Column, nodes: Column) -> DataFrame:
+    """Numbers of records, by status, of uncertain ones and of those with an OTHER role; mean number of nodes."""
+    n = F.count("*")
+    by = records.groupBy(F.col(status).alias("_s")).agg(n.alias("n"), F.count_if(uncertain).alias("u"), F.count_if(other).alias("o"), F.sum(nodes).alias("nodes"), F.count(nodes).alias("graphs"))
+    share = lambda c: F.round(F.try_divide(F.sum(c), F.sum("n")), 9)
+    return by.agg(
+        F.sum("n").alias("records"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_s", "n"))))).alias("status_counts"), F.sum("u").alias("uncertain"), share("u").alias("uncertain_rate"),
+        F.sum("o").alias("other"), share("o").alias("other_rate"), F.round(F.try_divide(F.sum("nodes"), F.sum("graphs")), 9).alias("mean_nodes"),
+    )
+
+
+def family_library(records: DataFrame, prefix: int, size: int = 10) -> DataFrame:
+    """A row a family: members, tier, stratum, quota, first and last place, parts, blocks, distinct finer signatures, members in and after the prefix."""
+    from ..functions.text import evidence_tier, frequency_stratum
+
+    n = F.count("*")
+    f = records.groupBy("sig").agg(
+        n.alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.countDistinct("part").alias("n_parts"), F.countDistinct(block_of(F.col("position"), size)).alias("n_blocks"),
+        F.countDistinct("fine").alias("n_fine"), F.countDistinct("topology").alias("n_topology"), F.count_if(F.col("position") <= prefix).alias("in_prefix"),
+    )
+    quota = F.least(F.col("n"), 1 + F.ceil(F.log2("n"))).cast("long")
+    return f.withColumns({"tier": evidence_tier(F.col("n")), "stratum": frequency_stratum(F.col("n")), "quota": quota, "new": F.col("in_prefix") == 0})

@@ -170,6 +170,13 @@ def extract(documents: DataFrame, attribute: str, value_type: str, cardinality:
     return documents.select(F.explode(found).alias("v")).select(typed(F.col("v")).alias("value")).where("value is not null")
 
 
+def extract_by(documents: DataFrame, id_: str, attribute: str, value_type: str) -> DataFrame:
+    """(id, value) of every value that the reader finds in a document."""
+    typed = {"Number": to_number, "Date": to_date}.get(value_type, lambda c: c)
+    found = F.regexp_extract_all("text", F.lit(reader(attribute, value_type)), F.lit(0))
+    return documents.select(id_, F.explode(found).alias("v")).select(id_, typed(F.col("v")).alias("value")).where("value is not null")
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text: runs up to . ! ? or the end of a line."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")

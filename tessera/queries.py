@@ -70,7 +70,7 @@ def is_(columns: list[str], label: str, kind: str, value) -> dict:
 
 
 def flagship_plan() -> dict:
-    """The sum of all numbers in documents that are labelled good and not toxic."""
+    """How many numbers the documents hold that are labelled good and not toxic."""
     c = LABELS
     return plan("labels", c, [
         node("n1", "FILTER", "table.filter", "RowSet", {"table": "$t"}, predicate=is_(c, "quality", "numeric_eq", 1)),
@@ -90,9 +90,9 @@ NUMBER = R.READERS["Number"]
 query("plan_flagship", f"SELECT sum(len(regexp_extract_all(d.text, '{NUMBER}')))::DOUBLE AS value FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND toxic = 0", lambda t: compile_plan(flagship_plan(), {"labels": t.labels}, documents(t)))
 query(
     "plan_table_lookup",
-    "SELECT min(p_name) AS value FROM part WHERE contains(p_type, 'STEEL') AND p_size > 40 GROUP BY lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))",
+    "SELECT min(p_name) AS value FROM part WHERE contains(p_type, 'SMALL') AND p_size > 40 GROUP BY lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))",
     lambda t: compile_plan(plan("part", PARTS, [
-        node("a", "FILTER", "table.filter", "RowSet", {"table": "$t"}, predicate=is_(PARTS, "p_type", "contains", "STEEL")),
+        node("a", "FILTER", "table.filter", "RowSet", {"table": "$t"}, predicate=is_(PARTS, "p_type", "contains", "SMALL")),
         node("b", "FILTER", "table.filter", "RowSet", {"rows": "a"}, predicate=is_(PARTS, "p_size", "numeric_gt", 40)),
         node("c", "PROJECT", "table.project", "ValueSet", {"rows": "b"}, column=column(PARTS, "p_name"), mode="text", cardinality="many"),
         node("d", "DISTINCT", "calculator.distinct", "ValueSet", {"values": "c"}, normalization="casefold_trim"),
@@ -128,7 +128,7 @@ query(
 # ---- query operators -------------------------------------------------------------------------------------------
 
 query("q_filter_eq", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", lambda t: R.filter_rows(t.customer, "c_mktsegment", "eq", "BUILDING").select("c_custkey"))
-query("q_filter_contains", "SELECT p_partkey FROM part WHERE contains(p_type, 'BRASS')", lambda t: R.filter_rows(t.part, "p_type", "contains", "BRASS").select("p_partkey"))
+query("q_filter_contains", "SELECT p_partkey FROM part WHERE contains(p_type, 'ROM')", lambda t: R.filter_rows(t.part, "p_type", "contains", "ROM").select("p_partkey"))
 query("q_filter_in", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')", lambda t: R.filter_rows(t.orders, "o_orderstatus", "in", ["F", "P"]).select("o_orderkey"))
 query("q_filter_numeric_gt", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45", lambda t: R.filter_rows(t.lineitem, "l_quantity", "numeric_gt", 45).select("l_orderkey", "l_linenumber"))
 query("q_filter_numeric_lt", "SELECT c_custkey FROM customer WHERE c_acctbal < 0", lambda t: R.filter_rows(t.customer, "c_acctbal", "numeric_lt", 0).select("c_custkey"))
@@ -140,11 +140,11 @@ query("q_retrieve", "SELECT doc_id AS value, length(text) AS n FROM labels JOIN
 query("q_retrieve_missing", "SELECT DISTINCT user_id AS value FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", lambda t: R.missing_documents(t.events.select(F.col("user_id").alias("value")).distinct(), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("text"))))
 query("q_extract_number", f"SELECT doc_id, len(regexp_extract_all(text, '{NUMBER}')) AS n, list_max(list_transform(regexp_extract_all(text, '{NUMBER}'), lambda x: x::DOUBLE)) AS most FROM documents",
       lambda t: t.documents.select("doc_id", F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)).alias("v")).select("doc_id", F.size("v").cast("long").alias("n"), F.array_max(F.transform("v", R.to_number)).alias("most")))
-query("q_extract_date", "SELECT doc_id, x AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS x FROM documents) WHERE try_cast(x AS DATE) IS NOT NULL",
-      lambda t: t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(R.READERS["Date"]), F.lit(0))).alias("x")).select("doc_id", R.to_date(F.col("x")).cast("string").alias("value")).where("value is not null"))
+query("q_extract_date", "SELECT o_orderkey, x AS value FROM (SELECT o_orderkey, unnest(regexp_extract_all('due ' || strftime(o_orderdate, '%Y-%m-%d') || ', at the latest on ' || strftime(o_orderdate, '%Y-%m-') || '31', '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS x FROM orders) WHERE try_cast(x AS DATE) IS NOT NULL",
+      lambda t: R.extract_by(t.orders.select("o_orderkey", F.concat(F.lit("due "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", at the latest on "), F.date_format("o_orderdate", "yyyy-MM-"), F.lit("31")).alias("text")), "o_orderkey", "day", "Date").select("o_orderkey", F.col("value").cast("string").alias("value")))
 query("q_extract_email", r"SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS value FROM documents", lambda t: t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(R.READERS["email"]), F.lit(0))).alias("value")))
-query("q_select_sentence", r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')) AS n_sentences, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')[1] AS first FROM documents",
-      lambda t: t.documents.select("doc_id", R.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first")))
+query("q_select_sentence", r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')) AS n_sentences, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')[1] AS first, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')[3] AS third FROM documents",
+      lambda t: t.documents.select("doc_id", R.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first"), F.try_element_at("s", F.lit(3)).alias("third")))
 query("q_join_key", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')", lambda t: R.join_rows(t.orders, "o_custkey", t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("value"))).select("o_orderkey"))
 query("q_join_ambiguous", "SELECT o_custkey, count(*) AS n_rows FROM orders GROUP BY o_custkey HAVING count(*) > 1", lambda t: R.ambiguous_keys(t.orders, "o_custkey"))
 for f, sql in (("count", "count(l_quantity)::DOUBLE"), ("sum", "sum(l_quantity)"), ("min", "min(l_quantity)"), ("max", "max(l_quantity)"), ("average", "avg(l_quantity)")):
@@ -181,7 +181,7 @@ query("fam_topk_coverage", SEQ + ", k AS (SELECT *, row_number() OVER (ORDER BY
 query("fam_contracted", SEQ + "SELECT user_id, day::VARCHAR AS day, contracted, n FROM r", lambda t: seq(t).select("user_id", F.col("day").cast("string").alias("day"), "contracted", "n"))
 query("fam_topology", SEQ + "SELECT topology AS sig, count(*) AS n FROM r GROUP BY topology", lambda t: A.counts(seq(t), "topology"))
 query("fam_rarefaction", SEQ + """, t AS (SELECT sum(n)::BIGINT AS total FROM c), s AS (SELECT DISTINCT s FROM (SELECT unnest(range(10, total + 1, 10)) AS s FROM t UNION ALL SELECT total FROM t))
-SELECT s, round(sum(1 - CASE WHEN total - n < s THEN 0 ELSE list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, n), lambda i: (total - s - i)::DOUBLE / (total - i))), lambda a, b: a * b) END), 6) AS expected FROM c, t, s GROUP BY s""", lambda t: A.rarefaction(A.counts(seq(t))))
+SELECT s, round(sum(1 - CASE WHEN total - n < s THEN 0 ELSE list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, n), lambda i: (total - s - i)::DOUBLE / (total - i))), lambda a, b: a * b) END), 4) AS expected FROM c, t, s GROUP BY s""", lambda t: A.rarefaction(A.counts(seq(t))))
 query("fam_cumulative_curve", SEQ + ", b AS (SELECT sig, min(position) AS first FROM r GROUP BY sig), e AS (SELECT max(position) AS position FROM r GROUP BY (position - 1) // 10) SELECT position, (SELECT count(*) FROM b WHERE first <= position) AS families FROM e", lambda t: A.cumulative_curve(seq(t)))
 query("fam_block_novelty", SEQ + ", b AS (SELECT sig, (position - 1) // 10 + 1 AS block, min((position - 1) // 10 + 1) OVER (PARTITION BY sig) AS first FROM r) SELECT block, count(*) AS records, count(*) FILTER (first = block) AS novel_records, count(DISTINCT sig) FILTER (first = block) AS new_families FROM b GROUP BY block", lambda t: A.block_novelty(seq(t)))
 query("fam_sequential_vs_baseline", SEQ + f", b AS (SELECT sig, position, (position - 1) // 10 + 1 AS block, min((position - 1) // 10 + 1) FILTER (position > {PREFIX}) OVER (PARTITION BY sig) AS first, min(position) OVER (PARTITION BY sig) <= {PREFIX} AS known FROM r) SELECT block, count(*) FILTER (NOT known AND first = block) AS sequential, count(*) FILTER (NOT known) AS baseline FROM b WHERE position > {PREFIX} GROUP BY block", lambda t: A.sequential_and_baseline(seq(t), PREFIX))
@@ -191,7 +191,6 @@ query("fam_partition_support", SEQ + f", g AS (SELECT sig, min(position) AS firs
 query("fam_dominant_inflation", SEQ + ", a AS (SELECT topology AS fine_sig, count(*) AS fine_n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1), b AS (SELECT part::VARCHAR AS coarse_sig, count(*) AS coarse_n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT fine_sig, fine_n, coarse_sig, coarse_n, (SELECT count(*) FROM r WHERE part::VARCHAR = coarse_sig AND topology <> fine_sig) AS added FROM a, b", lambda t: A.dominant_inflation(seq(t).withColumn("part", F.col("part").cast("string")), "topology", "part"))
 query("fam_partition_profile", SEQ + "SELECT part, count(*) AS n_records, min(position) AS first, max(position) AS last, round(avg(n), 9) AS mean_steps FROM r GROUP BY part", lambda t: A.partition_profile(seq(t)))
 query("fam_crosswalk", SEQ + "SELECT topology AS coarse, 'contracted' AS kind, contracted AS sig, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT topology, 'part', part::VARCHAR, count(*) FROM r GROUP BY ALL", lambda t: A.crosswalk(seq(t).withColumn("part", F.col("part").cast("string")), "topology", {"contracted": "contracted", "part": "part"}))
-query("fam_expand_decision", SEQ + f", s AS (SELECT round(count(*) FILTER (n = 1) / sum(n), 9) AS singleton_mass, count(*) AS families, sum(n) AS records FROM c), b AS (SELECT round(avg((sig IN (SELECT sig FROM r WHERE position <= {PREFIX}))::INT), 9) AS rate FROM r WHERE position > {PREFIX}) SELECT singleton_mass, rate, CASE WHEN singleton_mass > 0.05 OR rate < 0.9 OR families > 0.5 * records THEN 'EXPAND' ELSE 'STOP' END AS decision FROM s, b", lambda t: A.expand_decision(seq(t), PREFIX))
 query("stream_windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", lambda t: windowed_counts(t.events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"))
 
 # ---- sampling --------------------------------------------------------------------------------------------------
@@ -276,7 +275,7 @@ def label_cells(t: Tables) -> DataFrame:
 query("env_cells", CELLS + "SELECT * FROM c", lambda t: label_cells(t).drop("links"))
 query("env_schema_view", CELLS + "SELECT column_index, label, count(*) AS n_cells, count(*) FILTER (coalesce(trim(text), '') = '') AS n_blank, label = 'doc_id' AS has_links FROM c GROUP BY ALL", lambda t: E.schema_view(label_cells(t)))
 query("env_link_closure", "SELECT l.doc_id::VARCHAR AS document_id, count(*) AS n_links, bool_or(d.doc_id IS NOT NULL) AS found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' GROUP BY 1", lambda t: E.link_closure(label_cells(t), t.documents.where("lang = 'en'").select(F.col("doc_id").alias("document_id"))))
-query("env_contiguous", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS d, min(turn) AS lo, max(turn) AS hi FROM conversations GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)", lambda t: E.non_contiguous(t.conversations, "conv_id", "turn"))
+query("env_contiguous", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS d, min(turn) AS lo, max(turn) AS hi FROM conversations WHERE turn <> 1 GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)", lambda t: E.non_contiguous(t.conversations.where("turn <> 1"), "conv_id", "turn"))
 query("rule_duplicate_ids", "SELECT 'duplicate_id' AS rule, l_orderkey::VARCHAR AS key, count(*) || ' rows' AS message FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1", lambda t: V.duplicate_ids(t.lineitem, "l_orderkey"))
 query("rule_dangling_refs", "SELECT 'dangling_ref' AS rule, o_custkey::VARCHAR AS key, count(*) || ' references' AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey", lambda t: V.dangling_refs(t.orders, "o_custkey", t.customer.where("c_acctbal > 0"), "c_custkey"))
 query("rule_exact_ids", "SELECT 'exact_ids' AS rule, doc_id::VARCHAR AS key, CASE WHEN l IS NULL THEN 'missing' ELSE 'extra' END AS message FROM (SELECT doc_id, 1 AS l FROM labels) FULL JOIN (SELECT doc_id, 1 AS d FROM documents WHERE lang = 'en') USING (doc_id) WHERE l IS NULL OR d IS NULL", lambda t: V.exact_ids(t.labels, t.documents.where("lang = 'en'"), "doc_id"))
@@ -286,7 +285,10 @@ query("rule_forbidden_keys", "SELECT 'forbidden_key' AS rule, event_id::VARCHAR
 query("hash_set", "SELECT n_regionkey, sha256(string_agg(DISTINCT n_name, chr(10) ORDER BY n_name) || chr(10)) AS h FROM nation GROUP BY 1", lambda t: t.nation.groupBy("n_regionkey").agg(G.set_hash(F.col("n_name")).alias("h")))
 query("hash_canonical_json", """SELECT r_regionkey, sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS h FROM region""", lambda t: t.region.select("r_regionkey", X.canonical_hash(F.col("r_name"), F.col("r_regionkey")).alias("h")))
 query("hash_side", "SELECT c_custkey, CASE WHEN ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 2))::INT % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM customer", lambda t: t.customer.select("c_custkey", X.hash_side(F.col("c_custkey")).alias("side")))
-query("case_tier_stratum", "SELECT p_brand, count(*) AS n, CASE WHEN count(*) >= 3 THEN 3 WHEN count(*) = 2 THEN 2 ELSE 1 END AS tier, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) = 2 THEN '2' WHEN count(*) < 10 THEN '3-9' WHEN count(*) < 20 THEN '10-19' WHEN count(*) < 50 THEN '20-49' ELSE '50+' END AS stratum FROM part GROUP BY p_brand", lambda t: t.part.groupBy("p_brand").agg(F.count("*").alias("n")).withColumns({"tier": X.evidence_tier(F.col("n")), "stratum": X.frequency_stratum(F.col("n"))}))
+query("case_tier_stratum", "WITH g AS (SELECT l_partkey % 300 * (l_partkey % 7) AS g, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT -1 - p_partkey, 1 + p_partkey % 130 FROM part) SELECT g, n, CASE WHEN n = 1 THEN 'singleton' WHEN n = 2 THEN 'doubleton' ELSE 'recurrent' END AS tier, CASE WHEN n = 1 THEN 'singleton_1' WHEN n = 2 THEN 'doubleton_2' WHEN n <= 9 THEN 'low_recurrent_3_9' WHEN n <= 19 THEN 'medium_recurrent_10_19' WHEN n <= 99 THEN 'high_recurrent_20_99' ELSE 'dominant_100_plus' END AS stratum FROM g", lambda t: t.lineitem.groupBy((F.col("l_partkey") % 300 * (F.col("l_partkey") % 7)).alias("g")).agg(F.count("*").alias("n")).union(t.part.select(-1 - F.col("p_partkey"), 1 + F.col("p_partkey") % 130)).withColumns({"tier": X.evidence_tier(F.col("n")), "stratum": X.frequency_stratum(F.col("n"))}))
 query("json_pointer_get", "SELECT event_id, json_extract_string(props, '/k') AS value FROM events", lambda t: t.events.select("event_id", X.json_pointer(F.col("props"), "/k").alias("value")))
 query("fence_strip", "SELECT event_id, props AS value FROM events", lambda t: t.events.select("event_id", X.strip_fence(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("value")))
 query("key_canonical", "SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation", lambda t: t.nation.select("n_nationkey", X.canonical_key(F.col("n_name")).alias("k")))
+
+# queries of record joins, decisions, semantics and JSON walks
+from . import queries_records  # noqa: E402, F401
