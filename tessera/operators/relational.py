@@ -68,6 +68,23 @@ def retrieve(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return entities.join(documents.select(F.col("document_id").alias("value"), "text"), "value")
 
 
+def retrieve_all(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """As ``retrieve``; MISSING_LINK at run time for a null entity, MISSING_DOCUMENT for one without document."""
+    ids = documents.select(F.col("document_id").alias("value"))
+    known = ids.join(entities, "value", "left_semi").distinct().withColumn("_known", F.lit(True))  # no larger than the entities
+    seen = entities.join(known, "value", "left")
+    why = F.when(F.col("value").isNull(), F.lit("MISSING_LINK: no entity")).otherwise(F.concat(F.lit("MISSING_DOCUMENT: "), F.col("value")))
+    return retrieve(entities, documents).union(breach(seen, F.col("_known").isNull(), why, ["value", "text"]))
+
+
+def breach(rows: DataFrame, broken: Column, message: Column, columns: list[str]) -> DataFrame:
+    """No rows, with the given columns as nulls; raises at run time if a row is broken.
+
+    The test stays with the raise in one expression: a raise alone is a filter that moves below a join and meets all rows.
+    """
+    return rows.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(False)).select(*[F.lit(None).alias(c) for c in columns])
+
+
 def missing_documents(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return entities.join(documents.select(F.col("document_id").alias("value")), "value", "left_anti")
 
@@ -79,6 +96,16 @@ def join_rows(rows: DataFrame, column: str, keys: DataFrame, match: str = "exact
     return rows.join(keys, normalize(F.col(column), how) == F.col("_key"), "left_semi")
 
 
+def join_once(rows: DataFrame, column: str, keys: DataFrame, match: str = "exact") -> DataFrame:
+    """As ``join_rows``; NO_MATCH at run time for a key without row, AMBIGUOUS_MATCH for one with several."""
+    how = "casefold_trim" if match == "normalized" else "none"
+    found = join_rows(rows, column, keys, match)
+    n = found.groupBy(normalize(F.col(column), how).alias("_key")).agg(F.count("*").alias("_n"))
+    seen = keys.select(normalize(F.col("value"), how).alias("_key")).distinct().join(n, "_key", "left")
+    why = F.concat(F.when(F.col("_n").isNull(), "NO_MATCH: ").otherwise("AMBIGUOUS_MATCH: "), F.coalesce(F.col("_key").cast("string"), F.lit("null")))
+    return found.union(breach(seen, F.col("_n").isNull() | (F.col("_n") > 1), why, found.columns))
+
+
 def ambiguous_keys(rows: DataFrame, column: str) -> DataFrame:
     """Keys that match more than one row, with their number of rows."""
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
@@ -102,6 +129,20 @@ def keyed_extreme(rows: DataFrame, by: list[str], key: str, value: str, mode: st
     return rows.join(best, by).where(F.col(value) == F.col("_best")).select(*by, key, value)
 
 
+def select_keys(values: DataFrame, mode: str, parse: str, tie_policy: str) -> DataFrame:
+    """Keys (``value``) of the extreme of (key, value); ``error``: PARSE_FAILURE, TIE or EMPTY_INPUT at run time, ``all``: tied keys are all given."""
+    read = {"Number": to_number, "Date": to_date}.get(parse, lambda c: c)(F.col("value"))
+    read = F.when(read.isNotNull(), read).otherwise(F.raise_error(F.concat(F.lit("PARSE_FAILURE: "), F.coalesce(F.col("value").cast("string"), F.lit("null")))))
+    read_values = values.select("key", read.alias("_v"))
+    best = read_values.agg((F.max if mode == "max" else F.min)("_v").alias("_m"))
+    keys = read_values.crossJoin(F.broadcast(best)).where("_v = _m").select(F.col("key").alias("value")).distinct()  # one row on the right
+    if tie_policy == "all":
+        return keys
+    n = F.count(F.lit(1))
+    code = F.when(n == 0, "EMPTY_INPUT: nothing to select").otherwise("TIE: several keys are extreme")
+    return keys.agg(F.when(n == 1, F.max("value")).otherwise(F.raise_error(code)).alias("value"))
+
+
 def arg_extreme(rows: DataFrame, column: Column, mode: str = "max") -> DataFrame:
     """The one row with the extreme value; a tie is an error."""
     best = rows.withColumn("_v", column).where("_v is not null")
@@ -146,6 +187,10 @@ READERS = {
 }
 
 
+# How a found text becomes a value; other types keep the text.
+TYPED = {"Number": to_number, "Date": to_date, "Boolean": lambda c: F.when(F.lower(c).isin("yes", "true"), True).when(F.lower(c).isin("no", "false"), False)}
+
+
 def register_reader(name: str, pattern: str) -> None:
     READERS[name] = pattern
 
@@ -159,20 +204,22 @@ def reader(attribute: str, value_type: str) -> str | None:
 
 
 def extract(documents: DataFrame, attribute: str, value_type: str, cardinality: str = "many") -> DataFrame:
-    """Typed values that the reader finds; UNSUPPORTED_EXTRACTION without one.  ``one``: the first of the only document."""
+    """Typed values that the reader finds, with their document's entity (``key``) where there is one; UNSUPPORTED_EXTRACTION without one.  ``one``: the first of the only document."""
     pattern = reader(attribute, value_type)
     if pattern is None:
         return documents.select(F.raise_error(F.lit(f"UNSUPPORTED_EXTRACTION: {attribute} as {value_type}")).cast("string").alias("value"))
-    typed = {"Number": to_number, "Date": to_date}.get(value_type, lambda c: c)
+    typed = TYPED.get(value_type, lambda c: c)
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    key = [F.col("value").alias("key")] * ("value" in documents.columns)  # the entity that a document belongs to
     if cardinality == "one":
         return exactly_one(documents.select(typed(F.try_element_at(found, F.lit(1))).alias("value")).where("value is not null"))
-    return documents.select(F.explode(found).alias("v")).select(typed(F.col("v")).alias("value")).where("value is not null")
+    kept = ["key"] * len(key)
+    return documents.select(*key, F.explode(found).alias("v")).select(*kept, typed(F.col("v")).alias("value")).where("value is not null")
 
 
 def extract_by(documents: DataFrame, id_: str, attribute: str, value_type: str) -> DataFrame:
     """(id, value) of every value that the reader finds in a document."""
-    typed = {"Number": to_number, "Date": to_date}.get(value_type, lambda c: c)
+    typed = TYPED.get(value_type, lambda c: c)
     found = F.regexp_extract_all("text", F.lit(reader(attribute, value_type)), F.lit(0))
     return documents.select(id_, F.explode(found).alias("v")).select(id_, typed(F.col("v")).alias("value")).where("value is not null")
 

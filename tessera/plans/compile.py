@@ -40,7 +40,7 @@ def compile_plan(plan: dict, tables: dict[str, DataFrame], documents: DataFrame
         if k in live:
             n = nodes[k]
             made[k] = _build(n["operator"], {r: value(x) for r, x in n["inputs"].items()}, n["arguments"], documents, links or {}, {r: report.types.get(x.get("node_id"), "Table") for r, x in n["inputs"].items()})
-    return made[plan["answer"]["node_id"]]
+    return made[plan["answer"]["node_id"]].select("value")
 
 
 def _link_column(rows: DataFrame, label: str, links: dict[str, str]) -> DataFrame:
@@ -64,18 +64,22 @@ def _build(operator: str, x: dict[str, DataFrame], a: dict, documents: DataFrame
         case "RETRIEVE":
             if documents is None:
                 raise ValueError("the plan needs documents")
-            return R.retrieve(only, documents.select(F.col("document_id").cast("string").alias("document_id"), "text"))
+            return R.retrieve_all(only, documents.select(F.col("document_id").cast("string").alias("document_id"), "text"))
         case "EXTRACT":
             return R.extract(only, a["attribute"], a["value_type"], a["cardinality"])
         case "JOIN":
             label = a["right_column"]["label"]
-            return R.join_rows(x["rows"], label, x["key"], a["match"])
+            return R.join_once(x["rows"], label, x["key"], a["match"])
         case "AGGREGATE":
             if "values" not in x:
                 return only.agg(F.count("*").cast("double").alias("value"))
             number = only if dict(only.dtypes)["value"] != "string" or a["function"] == "count" else only.select(R.to_number(F.col("value")).alias("value"))
             return R.aggregate(number, a["function"])
         case "COMPARE":
+            if a["return"] == "selection":
+                if "key" not in only.columns:
+                    raise ValueError("the values to select from have no keys")
+                return R.select_keys(only, a["relation"], a["parse"], a["tie_policy"])
             both = x["left"].select(F.col("value").alias("l")).crossJoin(x["right"].select(F.col("value").alias("r")))  # one row each
             return both.select(R.compare(F.col("l"), F.col("r"), a["relation"]).alias("value"))
         case "PARSE":

@@ -18,6 +18,7 @@ FUNCTIONS = ("count", "sum", "min", "max", "average")
 
 # Our choice, where plans leave the value open.
 RELATIONS = ("eq", "lt", "gt", "le", "ge")
+SELECTIONS = ("min", "max")  # relations of a keyed set
 ARITHMETIC = ("add", "subtract", "multiply", "divide")
 NORMALIZATIONS = ("none", "casefold_trim")
 UNITS = ("day", "month", "year")
@@ -49,7 +50,7 @@ REGISTRY: dict[str, Operator] = {
     "EXTRACT": Operator((Overload({"documents": ("Document", "DocumentSet")}),), {"attribute": None, "value_type": ("String", "Number", "Date", "Entity", "Boolean"), "cardinality": ("one", "many")}, "document.extract"),
     "JOIN": Operator((Overload({"rows": ("RowSet", "Table"), "key": ("String", "Entity", "EntitySet", "ValueSet")}),), {"right_column": None, "match": ("exact", "normalized")}, "table.join"),
     "AGGREGATE": Operator((Overload({"values": ("ValueSet",)}), Overload({"entities": ("EntitySet",)}), Overload({"rows": ("RowSet",)})), {"function": FUNCTIONS}, "calculator.aggregate"),
-    "COMPARE": Operator((Overload({"left": ("String", "Number", "Date", "Entity", "Boolean"), "right": ("String", "Number", "Date", "Entity", "Boolean")}, same=True),), {"relation": RELATIONS, "return": ("boolean",), "tie_policy": ("error", "all")}, "calculator.compare"),
+    "COMPARE": Operator((Overload({"left": ("String", "Number", "Date", "Entity", "Boolean"), "right": ("String", "Number", "Date", "Entity", "Boolean")}, same=True), Overload({"values": ("ValueSet",)})), {"relation": RELATIONS + SELECTIONS, "return": ("boolean", "selection"), "tie_policy": ("error", "all")}, "calculator.compare", {"parse": ("Number", "Date", "String")}),
     "PARSE": Operator((Overload({"value": ("String",)}), Overload({"values": ("ValueSet",)})), {"target_type": ("Number", "Date")}, "calculator.parse"),
     "ARG_EXTREME": Operator((Overload({"table": ("Table",)}), Overload({"rows": ("RowSet",)})), {"column": None, "mode": ("min", "max"), "parse": ("Number", "Date", "String"), "tie_policy": ("error",)}, "table.arg_extreme"),
     "ARITHMETIC": Operator((Overload({"left": ("Number",), "right": ("Number",)}), Overload({"left": ("Date",), "right": ("Date",)})), {"function": ARITHMETIC}, "calculator.arithmetic", {"unit": UNITS}),
@@ -71,7 +72,7 @@ def output_type(operator: str, arguments: dict, inputs: dict[str, str]) -> str:
         case "EXTRACT":
             return arguments["value_type"] if not many else "EntitySet" if arguments["value_type"] == "Entity" else "ValueSet"
         case "COMPARE":
-            return "Boolean"
+            return "Boolean" if arguments["return"] == "boolean" else "Entity" if arguments["tie_policy"] == "error" else "EntitySet"
         case "PARSE":
             return arguments["target_type"] if only == "String" else "ValueSet"
         case "ARG_EXTREME":

@@ -368,3 +368,41 @@ def test_first_expansion_triggers(spark):
     assert decide(two).recurring and not decide([*calm[:40], "m", "m", *calm[:58]]).recurring
     last = [*calm[:80], *["m"] * 2, *calm[:8], *["n"] * 2, *calm[:8]]
     assert decide(last).last_blocks and not decide([*calm[:80], *["m"] * 2, *calm[:8], "n", *calm[:9]]).last_blocks
+
+
+def test_strict_plans(spark):
+    rows = spark.createDataFrame([("Aa", 1), ("b", 2), ("b ", 3)], "k string, v int")
+    keys = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    assert [r.v for r in R.join_once(rows, "k", keys("aa"), "normalized").collect()] == [1]
+    assert R.join_once(rows, "k", keys()).count() == 0
+    for wrong, code in (("b", "AMBIGUOUS_MATCH"), ("c", "NO_MATCH"), (None, "NO_MATCH")):
+        with pytest.raises(Exception, match=code):
+            R.join_once(rows, "k", keys("aa", wrong), "normalized").collect()
+    docs = spark.createDataFrame([("x", "one"), ("y", None)], "document_id string, text string")
+    assert {tuple(r) for r in R.retrieve_all(keys("x", "y"), docs).collect()} == {("x", "one"), ("y", None)}
+    for wrong, code in (("z", "MISSING_DOCUMENT: z"), (None, "MISSING_LINK")):
+        with pytest.raises(Exception, match=code):
+            R.retrieve_all(keys("x", wrong), docs).collect()
+
+
+def test_selection_by_key(spark):
+    v = spark.createDataFrame([("a", "1"), ("b", "5"), ("c", "5"), ("b", "5")], "key string, value string")
+    assert {r.value for r in R.select_keys(v, "max", "Number", "all").collect()} == {"b", "c"}
+    assert R.select_keys(v, "min", "Number", "error").first().value == "a"
+    for rows, code in ((v, "TIE"), (v.where("false"), "EMPTY_INPUT"), (v.selectExpr("key", "'x' AS value"), "PARSE_FAILURE")):
+        with pytest.raises(Exception, match=code):
+            R.select_keys(rows, "max", "Number", "error").collect()
+    from tessera.queries_annotation import selection_plan
+
+    assert check_plan(selection_plan("all")).ok and check_plan(selection_plan("error")).ok
+
+    def changed(**arguments):
+        p = selection_plan("all")
+        p["nodes"][4]["arguments"].update(arguments)
+        return check_plan(p).codes()
+
+    assert changed(relation="gt") == changed(**{"return": "boolean"}) == ["ARGUMENT_TYPE_MISMATCH"]
+    assert changed(tie_policy="error") == ["OUTPUT_TYPE_MISMATCH"]
+    p = selection_plan("all")
+    del p["nodes"][4]["arguments"]["parse"]
+    assert check_plan(p).codes() == ["ARGUMENT_ARITY_MISMATCH"]
