@@ -293,3 +293,4 @@ query("key_canonical", "SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z
 # queries of record joins, decisions, semantics and JSON walks
 from . import queries_records  # noqa: E402, F401
 from . import queries_annotation  # noqa: E402, F401
+from . import queries_views  # noqa: E402, F401

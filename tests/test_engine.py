@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import agreement as G
+from tessera.operators import annotation as V
 from tessera.operators import families as A
 from tessera.operators import graphs as N
 from tessera.operators import relational as R
 from tessera.operators import sampling as L
+from tessera.operators import views as W
 from tessera.plans.check import check_plan
 from tessera.plans.compile import PlanError, compile_plan
 from tessera.plans.model import dump_plan, parse_plan
@@ -406,3 +408,34 @@ def test_selection_by_key(spark):
     p = selection_plan("all")
     del p["nodes"][4]["arguments"]["parse"]
     assert check_plan(p).codes() == ["ARGUMENT_ARITY_MISMATCH"]
+
+
+def test_views(spark):
+    df = spark.createDataFrame([(1, [("q", "a")], {"k": ("w",)}), (2, None, None)], "id long, turns array<struct<text: string, Answer_Text: string>>, notes map<string, struct<why: string>>")
+    assert W.field_paths(df.schema) == ["$.id", "$.turns", "$.turns[*].text", "$.turns[*].Answer_Text", "$.notes", "$.notes.*.why"]
+    assert W.free_text(df, ["answer text", "WHY"]) == ["$.turns[*].Answer_Text", "$.notes.*.why"]
+    assert W.exact_view(df.select("id", F.lit(1).alias("x")), ["id", "y"]) == ["extra: $.x", "missing: $.y"]
+    with pytest.raises(Exception):
+        W.allowed(df, ["id", "gone"])
+    assert [tuple(r) for r in W.steps_to_edges(df.selectExpr("'p' AS p", "id"), ["p"], "id", "id").orderBy("id").collect()] == [("p", 1, None), ("p", 2, 1)]
+    route = spark.createDataFrame([(1, "A")], "id long, partition string")
+    with pytest.raises(Exception, match="UNROUTED: 2"):
+        W.packets(df, route, "id", ["id"]).collect()
+    cells = spark.createDataFrame([("a|b\nc", 0.5), (None, None)], "t string, x double")
+    assert [r.value for r in W.markdown(cells, [F.col("t").desc()]).orderBy("position").collect()] == ["| t | x |", "| --- | --- |", r"| a\|b c | 0.500 |", "| N/A | N/A |"]
+    none = spark.createDataFrame([(1, None, None)], "id long, n int, s boolean")
+    assert {r.message for r in W.attempts(none, "id", "n", "s").collect()} == {"not numbered 1 to n", "last attempt only is submitted"}
+
+
+def test_annotation_rules_on_nulls_and_empty_tables(spark):
+    ids = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "a")], "r long, id string")
+    found = lambda v: sorted((r.key, r.message) for r in v.collect())
+    assert found(V.repeated(ids, ["r"], "id", "x")) == [("1:a", "repeated"), ("1:null", "missing")]
+    assert found(V.unresolved(ids, ["r"], "id", ids.where("false"), "id", "x")) == [("1:a", "unknown"), ("null:a", "unknown")]
+    assert found(V.outside(ids, ["r"], "id", ["a"], "x")) == [("1", "missing")]
+    assert found(V.binding_kinds(ids.selectExpr("r", "id", "CAST(NULL AS STRING) AS k"), ["r"], "id", "k")) == [("1", ""), ("1", "a"), ("1", "a"), ("null", "a")]
+    reviews = spark.createDataFrame([(1, "adjudicated", None, 2, None, "adjudicated"), (2, None, False, None, False, None)], "id long, state string, gold_claimed boolean, human_review_count long, has_adjudication boolean, bundle_status string")
+    people = spark.createDataFrame([(1, "x"), (1, "y")], "id long, reviewer_id string")
+    assert found(V.review_states(reviews, people, "id")) == [("1", "adjudication_missing"), ("2", "count_disagrees")]
+    ports = spark.createDataFrame([], "g long, node long, port string, source_node long, source_port string, type string, cardinality string")
+    assert V.wiring(ports, ports, ports.withColumn("depends_on", F.col("node")), ["g"]).count() == 0
