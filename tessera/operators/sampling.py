@@ -45,6 +45,10 @@ def round_robin(position: Column, lanes: int, first: int = 0) -> Column:
     return F.pmod(position - 1, F.lit(lanes)) + first
 
 
+#: No quota is larger, as counts have 63 bits: a limit that rows can meet before they are shuffled.
+MOST = 64
+
+
 def quota(n: Column) -> Column:
     """min(n, 1 + ceil(log2 n))"""
     return F.least(n, 1 + F.ceil(F.log2(n)))
@@ -57,10 +61,21 @@ def balanced_pick(df: DataFrame, lane: str, flag: str, id_: str, seed: str, k: i
 
 
 def quota_pick(df: DataFrame, family: str, id_: str, seed: str) -> DataFrame:
-    """From each family its quota of rows by hash rank."""
-    n = df.groupBy(family).agg(quota(F.count("*")).cast("int").alias("quota"))
-    order = Window.partitionBy(family).orderBy(hash_rank(seed, F.col(family), F.col(id_)), id_)
-    return df.withColumn("pick", F.row_number().over(order)).join(n, family).where(F.col("pick") <= F.col("quota"))
+    """From each family its quota of rows by hash rank; tasks pass on at most ``MOST`` rows a family, however many it has."""
+    order = Window.partitionBy(family).orderBy(_family_rank(seed, family, id_), id_)
+    first = df.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= MOST)
+    return _with_quota(first, df, family).where(F.col("pick") <= F.col("quota"))
+
+
+def _family_rank(seed: str, family: str, id_: str) -> Column:
+    """The hash rank of a row in its family; a null family ranks as the empty name."""
+    return hash_rank(seed, F.coalesce(F.col(family).cast("string"), F.lit("")), F.col(id_))
+
+
+def _with_quota(rows: DataFrame, df: DataFrame, family: str) -> DataFrame:
+    """``rows`` with the quota of their family in ``df``; null is a family."""
+    n = df.groupBy(F.col(family).alias("_f")).agg(quota(F.count("*")).cast("int").alias("quota"))
+    return rows.join(n, F.col(family).eqNullSafe(F.col("_f"))).drop("_f")
 
 
 def greedy_coverage(df: DataFrame, family: str, id_: str, features: list[str], seed: str) -> DataFrame:
@@ -69,10 +84,9 @@ def greedy_coverage(df: DataFrame, family: str, id_: str, features: list[str], s
     Rows of a family that have the same features are one candidate, the first by
     hash rank first, so a family comes as its distinct feature rows, ``quota`` of each at most.
     """
-    n = df.groupBy(family).agg(quota(F.count("*")).cast("int").alias("quota"))
     same = Window.partitionBy(family, *features).orderBy("_h", id_)
-    rows = df.withColumn("_h", hash_rank(seed, F.col(family), F.col(id_))).withColumn("_r", F.row_number().over(same)).join(n, family)
-    rows = rows.where(F.col("_r") <= F.col("quota")).select(family, id_, "_h", "quota", *[F.col(f).cast("string").alias(f) for f in features])
+    first = df.withColumn("_h", _family_rank(seed, family, id_)).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= MOST)
+    rows = _with_quota(first, df, family).where(F.col("_r") <= F.col("quota")).select(family, id_, "_h", "quota", *[F.col(f).cast("string").alias(f) for f in features])
 
     def pick(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_h", id_])

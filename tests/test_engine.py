@@ -439,3 +439,25 @@ def test_annotation_rules_on_nulls_and_empty_tables(spark):
     assert found(V.review_states(reviews, people, "id")) == [("1", "adjudication_missing"), ("2", "count_disagrees")]
     ports = spark.createDataFrame([], "g long, node long, port string, source_node long, source_port string, type string, cardinality string")
     assert V.wiring(ports, ports, ports.withColumn("depends_on", F.col("node")), ["g"]).count() == 0
+
+
+def test_family_picks_against_brute_force(spark):
+    families, names = [None, "a", "b"], ["x", "y", "z", None]
+    rows = [(i, families[(i * i) % 3], names[i % 4], names[(i * 7) % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, fam string, f string, g string")
+    rank = lambda r: hashlib.sha256(f"s\0{r[1] or ''}\0{r[0]}".encode()).hexdigest()
+    by_hash, covering = set(), set()
+    for fam in {r[1] for r in rows}:
+        left = sorted((r for r in rows if r[1] == fam), key=rank)
+        k = min(len(left), 1 + (len(left) - 1).bit_length())
+        by_hash |= {(fam, r[0], i + 1) for i, r in enumerate(left[:k])}
+        seen = set()
+        for i in range(k):
+            gain = [len({(c, r[c]) for c in (2, 3) if r[c] is not None} - seen) for r in left]
+            r = left.pop(gain.index(max(gain)))
+            seen |= {(c, r[c]) for c in (2, 3) if r[c] is not None}
+            covering.add((fam, r[0], i + 1))
+    assert {tuple(r) for r in L.quota_pick(df, "fam", "id", "s").select("fam", "id", "pick").collect()} == by_hash
+    assert {tuple(r) for r in L.greedy_coverage(df, "fam", "id", ["f", "g"], "s").collect()} == covering
+    plan = L.quota_pick(df, "fam", "id", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
