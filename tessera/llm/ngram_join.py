@@ -9,8 +9,10 @@ Documents whose sets of k-word shingles have Jaccard similarity of at least
    have Jaccard similarity t, their parts in some class have it too.  A set takes
    part with every R from that of its own size to that of the largest partner's, so the two meet.
    Two parts of similarity t share a shingle among the ``n - ceil(t n) + 1`` rarest
-   of each (prefix filter).  Equal sets count as one.  Within each bucket of such a
-   shingle a signature tree finds the pairs of parts that their bitmaps and sizes
+   of each (prefix filter).  Equal sets count as one.  A part leaves the bucket of such a
+   shingle before its bitmap is sent there, if by sizes and the shingle's places it has
+   no partner for which this is the rarest common shingle.  Within each bucket a signature
+   tree finds the pairs of parts that their bitmaps and sizes
    allow; connected components of these are candidate groups.
 3. A candidate group is ordered by set size and cut into leaves of a bounded
    number of sets and shingles.  A leaf is a node of the signature tree: OR-combined token
@@ -102,7 +104,7 @@ def classes_of(n: int, num: int, den: int) -> list[int]:
 
 
 def _parts(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class id, the part's shingles, its rarest shingles as keys, which of these may be frequent) of each part of a set."""
+    """(class id, the part's shingles, its rarest shingles as keys, rarest first, how many of these are not frequent) of each part of a set."""
     for r in classes_of(len(s), num, den):
         of = s & np.uint64(r - 1)
         for c in range(r):
@@ -112,16 +114,17 @@ def _parts(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> Iterator[t
             weight = weights[(part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
             key = (weight << np.uint64(58)) | (part >> np.uint64(6))
             m = len(part) - (num * len(part) + den - 1) // den + 1
-            least = np.argpartition(key, m - 1)[:m] if m < len(part) else np.arange(len(part))
-            yield r + c, part, (part[least] ^ A.mix(np.full(1, r + c, np.uint64))).view(np.int64), weight[least] >= HOT
+            least = np.flatnonzero(key <= np.partition(key, m - 1)[m - 1])  # one order for all sets: by key, then by shingle
+            least = least[np.argsort(key[least], kind="stable")][:m]
+            yield r + c, part, (part[least] ^ A.mix(np.full(1, r + c, np.uint64))).view(np.int64), int((weight[least] < HOT).sum())
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each document's set size and identity; for the first document of a set in this task also its parts.
 
-    hot: how many of the keys, which come first, are of frequent shingles.
+    cold: how many of the keys, which come first, are not of frequent shingles.
     """
-    kind = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("bits", pa.binary()), ("hot", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("bits", pa.binary()), ("cold", pa.int32()), ("keys", pa.list_(pa.int64()))]))
     seen: set[int] = set()
     for batch in batches:
         sets = [s for _, s in _shingled(batch, k)]
@@ -134,7 +137,7 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, weights
                 seen.add(i)
             found = list(_parts(s, weights, num, den))
             bits = signatures([p for _, p, _, _ in found])
-            parts.append([{"part": c, "n": len(p), "bits": b.tobytes(), "hot": int(hot.sum()), "keys": keys[np.argsort(~hot, kind="stable")]} for (c, p, keys, hot), b in zip(found, bits)])
+            parts.append([{"part": c, "n": len(p), "bits": b.tobytes(), "cold": cold, "keys": keys} for (c, p, keys, cold), b in zip(found, bits)])
         sizes = [len(s) for s in sets]
         yield pa.record_batch(
             {
@@ -318,6 +321,23 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"sid": batch.column("sid"), "bits": pa.array(bits.view(np.int64).tolist(), pa.list_(pa.int64())), "ones": pa.array(np.bitwise_count(bits).sum(axis=1).astype(np.int64))})
 
 
+def _with_company(keys: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, part, key, salt) of the rows (sid, part, n, at, key, salt) that may have a partner in their bucket (key, salt).
+
+    at: how many rarer shingles the part has.  If a bucket's shingle is the rarest that two parts of n and m share, they share
+    n - at at most, so m is between n * num / den and ``most``, and the same holds from the other side.  Rows of salted
+    shingles stay, as their bucket is dealt to several tasks.  Copies of a row may come out twice.
+    """
+    bucket = Window.partitionBy("key", "salt").orderBy("n", "sid")
+    rows = keys.withColumn("most", F.expr(f"(cast(n - at as long) * {num + den}) div {num} - n"))
+    rows = rows.select("sid", "part", "key", "salt", "n", "most", *[f(c).over(bucket).alias(f"{name}_{c}") for f, name in ((F.lag, "before"), (F.lead, "after")) for c in ("sid", "n")],
+                       F.max("most").over(bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
+    # copies of a row lie side by side: the first looks back, the last ahead
+    first, last = F.expr("before_sid is null or before_sid <> sid"), F.expr("after_sid is not null and after_sid <> sid")
+    smaller = F.expr(f"cast(before_n as long) * {den} >= cast(n as long) * {num} and reach >= n")
+    return rows.where(first & ((F.col("salt") > 0) | smaller) | last & F.expr("after_n <= most")).select("sid", "part", "key", "salt")
+
+
 def _leaves(sets: DataFrame, leaf: int) -> DataFrame:
     """(grp, leaf, sid, n, comp): leaves of sets (grp, sid, n, comp, sub) in the order of (sub, n).
 
@@ -380,14 +400,15 @@ def _components(docs: DataFrame, k: int, num: int, den: int, leaf: int) -> tuple
     for r in sketch.toLocalIterator():  # at most 2 ** SKETCH_BITS rows at any size
         weights[r.slot] = min(63, int(r.cnt).bit_length())
     shared = spark.sparkContext.broadcast(weights)
-    found = written(docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, mark long, n_shingles long, sid long, parts array<struct<part:int,n:int,bits:binary,hot:int,keys:array<long>>>"), "sets")
+    found = written(docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _keys(b, k, num, den, shared.value), "doc_id long, mark long, n_shingles long, sid long, parts array<struct<part:int,n:int,bits:binary,cold:int,keys:array<long>>>"), "sets")
     shared.destroy()
 
     parts = found.where("parts is not null").select("sid", "n_shingles", F.explode("parts").alias("p")).select("sid", "n_shingles", "p.*")
-    keys = parts.select("sid", "part", "hot", F.posexplode("keys").alias("at", "key"))
+    keys = parts.select("sid", "part", "n", "cold", F.posexplode("keys").alias("at", "key"))
     # a frequent shingle's rows are dealt by set too; it only has to be frequent in the sketch for that
-    salt = F.when(F.col("at") < F.col("hot"), F.pmod(F.col("sid"), F.lit(SALTS)) + 1).otherwise(0)
-    pairs = keys.select("sid", "part", "key", salt.cast("int").alias("salt")).repartition("key", "salt").dropDuplicates(["key", "salt", "sid"])
+    salt = F.when(F.col("at") >= F.col("cold"), F.pmod(F.col("sid"), F.lit(SALTS)) + 1).otherwise(0)
+    kept = written(_with_company(keys.select("sid", "part", "n", "at", "key", salt.cast("int").alias("salt")), num, den), "pairs")
+    pairs = kept.repartition("key", "salt").dropDuplicates(["key", "salt", "sid"])
     mark = F.xxhash64("sid", "part")
     # of shingles that are not salted the whole bucket lies in one task: those of one set go before the next exchange
     buckets = pairs.groupBy("key", "salt").agg(F.count("*").alias("cnt"), F.bit_xor(mark).alias("h1"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("h2"), F.min("sid").alias("least"))
@@ -406,7 +427,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, leaf: int) -> tuple
     sizes = parts.groupBy("sid").agg(F.max("n_shingles").alias("n"))
     groups = groups.withColumnRenamed("node", "sid").join(sizes, "sid").select(F.col("label").alias("grp"), "sid", "n", F.col("sid").alias("comp"), F.lit(0).cast("long").alias("sub"))
     leaves = written(_leaves(groups, leaf), "groups")
-    remove(spark, members)
+    remove(spark, kept, members)
 
     filter_ = spark.sparkContext.broadcast(hash_filter(leaves, "sid", FILTER_BITS))
     sets = text.mapInArrow(lambda b: _candidate_sets(b, k, filter_.value), "sid long, tokens binary")

@@ -216,6 +216,46 @@ def test_join_of_frequent_shingles_and_large_groups(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and 2 < len({c for _, c in want}) < len(texts)
 
 
+@pytest.mark.parametrize("num, den", [(9, 10), (4, 5), (1, 2)])
+def test_buckets_keep_all_that_may_link(spark, num, den):
+    """Of a bucket stay all rows with a partner by sizes and places, and none without one of a size that may do, copies or not."""
+    rng = np.random.default_rng(num)
+    rows = []
+    for key in range(300):
+        for sid in range(int(rng.integers(1, 6))):
+            n = int(rng.integers(1, 60))
+            at = int(rng.integers(0, n - (num * n + den - 1) // den + 1))
+            rows += [(key * 10 + sid, 1, n, at, key, int(key % 50 == 0))] * int(rng.integers(1, 3))
+
+    def may(a, b):
+        common = min(a[2] - a[3], b[2] - b[3])  # if this is their rarest common shingle
+        return a[0] != b[0] and a[4] == b[4] and common * (num + den) >= num * (a[2] + b[2])
+
+    frame = spark.createDataFrame(rows, "sid long, part int, n int, at int, key long, salt int")
+    got = {(r.sid, r.part, r.key, r.salt) for r in ngram_join._with_company(frame, num, den).collect()}
+    want = {(a[0], a[1], a[4], a[5]) for a in rows if a[5] or any(may(a, b) for b in rows)}
+    assert want <= got < {(a[0], a[1], a[4], a[5]) for a in rows}
+    alike = {(a[0], a[1], a[4], a[5]) for a in rows if a[5] or any(a[0] != b[0] and a[4] == b[4] and num * max(a[2], b[2]) <= den * min(a[2], b[2]) for b in rows)}
+    assert got <= alike
+
+
+def test_bitmaps_are_sent_only_where_sizes_allow(spark, monkeypatch):
+    """Texts that hold one another, of twice the size: nothing left to compare; near copies are."""
+    seen = {}
+
+    def written(df, name, write=ngram_join.written):
+        out = write(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    texts = [" ".join(f"u{i}x{j}" for j in range(n)) for i in range(3) for n in (200, 400)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(spark, texts), 3, 9, 10).collect()}
+    assert got == {i: i for i in range(6)} and seen["members"] == 0
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(spark, [*texts, texts[3] + " end"]), 3, 9, 10).collect()}
+    assert got == {i: i for i in range(6)} | {6: 3} and seen["members"] == 2
+
+
 def test_one_of_each_by_row(spark):
     """Repeated doc_ids of different texts: only rows with a copy go."""
     a, b = "a b c d e f g h", "z y x w v u t s"
