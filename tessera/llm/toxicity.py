@@ -105,6 +105,15 @@ def _vectors(batches: Iterator[pa.RecordBatch], terms: np.ndarray, rank: np.ndar
         yield pa.record_batch([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[*[c for c in batch.schema.names if c != "text"], "terms", "counts"])
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+    """The terms of this task's rows and how many rows hold each: a row a term, however many rows there are."""
+    total = np.zeros(n_terms, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=n_terms)
+    found = np.flatnonzero(total)
+    yield pa.record_batch({"t": pa.array(found, pa.int32()), "n": pa.array(total[found])})
+
+
 class BlockMaxIndex:
     """Inverted lists of unit vectors with the largest weight of each term in each block of examples."""
 
@@ -245,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float =
     own = examples.mapInArrow(lambda b: _vectors(b, terms, rank), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms", "counts").collect()
     n_docs = counts.count()
     idf = np.full(len(terms), np.log(n_docs + 1.0) + 1)
-    for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a term of the vocabulary
-        idf[r.t] = np.log((n_docs + 1) / (r["count"] + 1)) + 1
+    held = counts.select("terms").mapInArrow(lambda b: _frequencies(b, len(terms)), "t int, n long")
+    for r in held.groupBy("t").agg(F.sum("n").alias("n")).collect():  # a row a term of the vocabulary
+        idf[r.t] = np.log((n_docs + 1) / (r.n + 1)) + 1
     model = Model(terms, idf, np.array([r.doc_id for r in own], np.int64), np.array([r.toxic for r in own], np.int64), [(r.terms, r.counts) for r in own], k)
     return model, counts
 

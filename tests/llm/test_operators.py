@@ -651,6 +651,31 @@ def test_vocabulary_is_whole(spark):
     assert min(model.score(r.terms, r.counts)[0] for i, r in rows.items() if i < 1500) > 0.7 > 0.3 > max(model.score(r.terms, r.counts)[0] for i, r in rows.items() if i >= 1500)
 
 
+def test_term_frequencies_are_counted_in_the_task(spark):
+    """1,500 copies that hold 40 terms each: one row a term and task, not a row a term and copy; the counts are whole."""
+    rows = [(list(range(40)),)] * 1500 + [([3, 50],), ([],), ([],)]
+    frame = spark.createDataFrame(rows, "terms array<int>").repartition(3)
+    held = frame.mapInArrow(lambda b: toxicity._frequencies(b, 60), "t int, n long")
+    found = held.collect()
+    assert len(found) <= 3 * 41
+    assert {r.t: r.s for r in held.groupBy("t").agg(F.sum("n").alias("s")).collect()} == {i: 1500 + (i == 3) for i in range(40)} | {50: 1}
+    empty = spark.createDataFrame([], "terms array<int>").mapInArrow(lambda b: toxicity._frequencies(b, 0), "t int, n long")
+    assert empty.collect() == []
+
+
+def test_fit_makes_no_row_a_document_and_term(spark, monkeypatch):
+    """The step that counts documents of a term takes no table of all (document, term) pairs."""
+    made = []
+    monkeypatch.setattr(F, "explode", lambda *a, make=F.explode: made.append(a) or make(*a))
+    docs = docs_of(spark, ["vile awful words", "calm quiet words"] * 30)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    model, counts = toxicity.fit(docs, labels, limit=3)
+    df = np.zeros(len(model.terms))
+    for r in counts.collect():
+        df[list(r.terms)] += 1
+    assert len(df) and np.allclose(model.idf, np.log(61 / (df + 1)) + 1) and not made
+
+
 def _bytes_of(text):
     return [w.lower() if w.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
 
